@@ -19,7 +19,7 @@ ROOMS = 100
 #: Small limits, so that parts roll and files count as oversized in small rooms, too.
 ROLL, WARN = 20_000, 21_000
 GET = {"track": "Home", "artist": "Assorted Voices"}
-ALBUM, DURATION = "The Silver Morning", 200.0
+ALBUM, DURATION = "The Trisortro Sessions", 232.0
 WORDS, FIELDS, LINE = "The silver", {"track": "road to", "artist": "and the"}, "nobody "
 
 
