@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choralis.llm import abuse, encoding, leakage, lookalike, merkle, survivor, tokens
-from choralis.llm.common import catalogue_values
+from choralis.llm import abuse, encoding, language, leakage, lookalike, merkle, survivor, tokens, truncation
+from choralis.llm.common import catalogue_values, values
 from choralis.sources.tables import table
 
 
@@ -49,6 +49,27 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
     return survivor.clear_winners(_lyrics(s, d), table(s, d, "lyric_sources"))
 
 
+def _hurt_texts(s: SparkSession, d: str):
+    """Tells, at the executor, lyrics texts that were decoded with the wrong encoding."""
+    model = encoding.pair_model(values(_lyrics(s, d), ["plain_lyrics"]))
+
+    def hurt():
+        doctor = encoding.Doctor(model.value)
+        return lambda x: doctor.value(x)[0]
+
+    return hurt
+
+
+def p4_segments(s: SparkSession, d: str) -> DataFrame:
+    """Every text's passages with language and confidence."""
+    f = language.identify(_lyrics(s, d), table(s, d, "lyric_labels")).select("id", F.explode("segments").alias("p"))
+    return f.select("id", "p.lang", F.col("p.first").alias("first_line"), F.col("p.last").alias("last_line"), "p.confidence").distinct()
+
+
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return language.missing_or_wrong(_lyrics(s, d), table(s, d, "lyric_labels"), _hurt_texts(s, d))
+
+
 def p6_collapse(s: SparkSession, d: str) -> DataFrame:
     return merkle.collapse(table(s, d, "tracks")).select("first_id", "copies")
 
@@ -88,6 +109,18 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
     return p9_leaks(s, d).select("doc_id", "item_id")
 
 
+def p10_judged(s: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(table(s, d, "documents"))
+
+
+def p10_rates(s: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(p10_judged(s, d))
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return p10_judged(s, d).filter("cut").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
@@ -96,6 +129,8 @@ QUERIES = {
     "p2_repair": p2_repair,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p6_found": p6_found,
     "p6_collapse": p6_collapse,
     "p7_found": p7_found,
@@ -104,6 +139,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_judged": p10_judged,
+    "p10_rates": p10_rates,
 }
 
 _LEAF = "translate(lower(upper(replace(regexp_replace(coalesce({}, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'ß', 'ss'))), 'ς', 'σ')"
