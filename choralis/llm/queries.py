@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choralis.llm import abuse, encoding, language, leakage, lookalike, merkle, survivor, tokens, truncation
+from choralis.llm import abuse, encoding, language, leakage, lookalike, merkle, survivor, tokens, truncation, variants
 from choralis.llm.common import catalogue_values, values
 from choralis.sources.tables import table
 
@@ -70,6 +70,15 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return language.missing_or_wrong(_lyrics(s, d), table(s, d, "lyric_labels"), _hurt_texts(s, d))
 
 
+def p5_groups(s: SparkSession, d: str) -> DataFrame:
+    """Each artist's spellings: group and member forms."""
+    return variants.link(table(s, d, "tracks"))["artist_name"].select("group", "value").distinct()
+
+
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    return variants.spellings(table(s, d, "tracks"))
+
+
 def p6_collapse(s: SparkSession, d: str) -> DataFrame:
     return merkle.collapse(table(s, d, "tracks")).select("first_id", "copies")
 
@@ -131,6 +140,8 @@ QUERIES = {
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_collapse": p6_collapse,
     "p7_found": p7_found,
