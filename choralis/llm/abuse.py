@@ -350,10 +350,11 @@ def common_words(texts: DataFrame) -> frozenset[str]:
         n[""] = total
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
 
-    counts = texts.mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.filter("w = ''").agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter((F.col("w") != "") & (F.col("n") >= max(3, total * COMMON))).select("w").collect()
-    return frozenset(r["w"] for r in rows)
+    # One small table comes back, the total among its rows; the corpus is read once.
+    rows = texts.mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    counts = {r["w"]: r["n"] for r in rows}
+    total = counts.pop("", 0)
+    return frozenset(w for w, n in counts.items() if n >= max(3, total * COMMON))
 
 
 def scores(docs: DataFrame, id_: str, text: str) -> DataFrame:

@@ -26,23 +26,24 @@ def catalogue_values(spark: SparkSession, d: str) -> DataFrame:
     return t.unionByName(values(table(spark, d, "lyrics"), ["plain_lyrics"]))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints. Only where none is named, as in
+    tests on one machine, one temporary folder for the application."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not d and app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="stages-")
+    return d or _OWN[app]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, its
     lineage is cut, and the loss of an executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
