@@ -50,7 +50,7 @@ LINES = re.compile(r"[\r\n]+")
 SHARE = 0.6
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: Signs of damage by themselves: the replacement character and the C1 controls.
-BROKEN = re.compile(r"[�\x80-\x9f]")
+BROKEN = re.compile(r"[\ufffd\x80-\x9f]")
 FIELDS = {"name": 0, "artist_name": 1, "plain_lyrics": 2}
 
 
@@ -364,7 +364,7 @@ class Doctor:
 
 def pair_model(values: DataFrame) -> Broadcast:
     """Counts over all values (field, id, value), at the executors."""
-    rows = values.mapInArrow(_count, "model int, kind int, key int, n bigint").groupBy("model", "kind", "key").agg(F.sum("n").alias("n")).collect()
+    rows = values.filter("value is not null").mapInArrow(_count, "model int, kind int, key int, n bigint").groupBy("model", "kind", "key").agg(F.sum("n").alias("n")).collect()
     return values.sparkSession.sparkContext.broadcast(Pairs([tuple(r) for r in rows]))
 
 

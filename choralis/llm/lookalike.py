@@ -28,33 +28,33 @@ LOOK_ALIKES = {
     "U": "Ս", "V": "ѴᏙ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
 }
 #: Signs that only make another look alike in a skeleton: quotes and dashes of one kind.
-SIGNS = {"'": "‘’ʼ‛`´", '"': "“”„‟", "-": "‐‑‒–—―−"}
+SIGNS = {"'": "\u2018\u2019\u02bc\u201b`\u00b4", '"': "\u201c\u201d\u201e\u201f", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"}
 
 PROTOTYPE = {ord(x): a for a, xs in (LOOK_ALIKES | SIGNS).items() for x in xs}
 
-_EMOJI = r"[©®‼⁉™ℹ←-⇿⌀-➿⤀-⥿⬀-⯿〰〽㊗㊙\U0001f000-\U0001faff#*0-9⃣]"
+_EMOJI = r"[\u00a9\u00ae\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff#*0-9\u20e3]"
 #: What joins or presents an emoji is part of it.
-EMOJI = re.compile(rf"{_EMOJI}[︎️\U0001f3fb-\U0001f3ff⃣]+(?:‍{_EMOJI}[︎️\U0001f3fb-\U0001f3ff]*)*|[\U0001f000-\U0001faff☀-➿](?:‍{_EMOJI}[︎️\U0001f3fb-\U0001f3ff]*)+|[\U0001f000-\U0001faff][\U000e0020-\U000e007f]+")
+EMOJI = re.compile(rf"{_EMOJI}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff\u20e3]+(?:\u200d{_EMOJI}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff]*)*|[\U0001f000-\U0001faff\u2600-\u27bf](?:\u200d{_EMOJI}[\ufe0e\ufe0f\U0001f3fb-\U0001f3ff]*)+|[\U0001f000-\U0001faff][\U000e0020-\U000e007f]+")
 #: Joiners that scripts of their own need.
-JOINED = re.compile("(?<=[؀-ࣿऀ-෿])[‌‍](?=[؀-ࣿऀ-෿])")
-SPACES = re.compile("[   -   　]")
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+JOINED = re.compile("(?<=[\u0600-\u08ff\u0900-\u0dff])[\u200c\u200d](?=[\u0600-\u08ff\u0900-\u0dff])")
+SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 #: Width and styled forms and ligatures: what Unicode itself calls such.
 STYLES = ("<wide>", "<narrow>", "<font>", "<circle>", "<square>", "<super>", "<sub>", "<fraction>")
 #: Ordinary signs among them, and full-width signs, which are ordinary between East Asian letters.
 PLAIN = frozenset("ªº²³¹½¼¾™℠℡№℃℉㎏㎝")
-MARK = re.compile("[̀-゙゚ͯ᪰-᫿᷀-᷿]")
-WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-_SCRIPTS = re.compile("(?P<L>[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ])|(?P<C>[Ѐ-ԯ])|(?P<G>[Ͱ-Ͽἀ-῿])|(?P<A>[԰-֏])|(?P<H>[Ꭰ-᏿])")
-_EAST = re.compile("[぀-ヿ㐀-鿿가-힯]")
+MARK = re.compile("[\u0300-\u036f\u3099\u309a\u1ab0-\u1aff\u1dc0-\u1dff]")
+WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+_SCRIPTS = re.compile("(?P<L>[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff])|(?P<C>[\u0400-\u052f])|(?P<G>[\u0370-\u03ff\u1f00-\u1fff])|(?P<A>[\u0530-\u058f])|(?P<H>[\u13a0-\u13ff])")
+_EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 @lru_cache(1 << 16)
 def _styled(ch: str) -> bool:
     d = unicodedata.decomposition(ch)
-    if not d or ch in PLAIN:
+    if not d or ch in PLAIN or ch.isspace():
         return False
-    return d.startswith(STYLES) or "ﬀ" <= ch <= "ﭏ" or "Ⅰ" <= ch <= "ⅿ" or ch in "ſĿŀ"
+    return d.startswith(STYLES) or "\ufb00" <= ch <= "\ufb4f" or "\u2160" <= ch <= "\u217f" or ch in "\u017f\u013f\u0140"
 
 
 @lru_cache(1 << 16)
@@ -66,7 +66,7 @@ def skeleton(s: str) -> str:
     """Equal for texts of equal look. Idempotent."""
     if s.isascii():
         return s.translate(PROTOTYPE) if "`" in s else s
-    s = EMOJI.sub(lambda m: m[0].replace("‍", "").replace("️", ""), s) if "‍" in s else s
+    s = EMOJI.sub(lambda m: m[0].replace("\u200d", "\ue000").replace("\ufe0f", ""), s) if "\u200d" in s else s
     return unicodedata.normalize("NFKD", _decomposed(SPACES.sub(" ", s)).translate(PROTOTYPE))
 
 
@@ -84,6 +84,12 @@ def foreign_words(s: str) -> list[str]:
     return mixed
 
 
+def _styles(s: str) -> set[str]:
+    """Styled characters of a text; full-width signs among East Asian letters are ordinary."""
+    east = _EAST.search(s) is not None
+    return {ch for ch in set(s) if ch > "\x7f" and _styled(ch) and (not east or unicodedata.category(ch)[0] in "LN")}
+
+
 def standing_in(s: str | None) -> list[str]:
     """Kinds of characters in s that stand for ordinary ones of the same look; none for null."""
     if not s or s.isascii():
@@ -96,8 +102,7 @@ def standing_in(s: str | None) -> list[str]:
         kinds.append("invisible")
     if MARK.search(bare) and unicodedata.normalize("NFC", bare) != bare:
         kinds.append("accent")
-    east = _EAST.search(bare) is not None
-    if any(_styled(ch) and (not east or unicodedata.category(ch)[0] in "LN") for ch in set(bare) if ch > "\x7f"):
+    if _styles(bare):
         kinds.append("style")
     if foreign_words(bare):
         kinds.append("alphabet")
@@ -132,7 +137,8 @@ def form(s: str | None) -> str | None:
 
     t = JOINED.sub(hide, EMOJI.sub(hide, s))
     t = INVISIBLE.sub("", SPACES.sub(" ", t))
-    t = "".join(unicodedata.normalize("NFKC", c) if c > "\x7f" and _styled(c) else c for c in t)
+    if styles := _styles(t):
+        t = "".join(unicodedata.normalize("NFKC", c) if c in styles else c for c in t)
     t = unicodedata.normalize("NFC", t)
     for w in sorted(foreign_words(t), key=len, reverse=True):
         t = re.sub(rf"(?<![^\W\d_]){re.escape(w)}(?![^\W\d_])", _own(w), t)

@@ -23,8 +23,9 @@ HOT, MOST, SALTS = 10_000, 10_000, 64
 def leaf(c: Column) -> Column:
     """Letters and digits in order, without case: upper and then lower folds letters
     that have several lower forms. Null is as empty."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", "")
-    return F.translate(F.lower(F.upper(s)), "ς", "σ")
+    # The optimizer makes one step of upper and lower side by side, so signs are dropped between them.
+    s = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
+    return F.translate(F.lower(s), "ς", "σ")
 
 
 def structure(names: list[str], ordered: list[str]) -> Column:

@@ -11,6 +11,7 @@ ids are those of the whole text. Decoding concatenates the raw bytes.
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,21 @@ def _pattern() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
+def _kind(ch: str) -> str:
+    """L letter, N number, S white space, C control (about which engines differ) or O."""
+    c = unicodedata.category(ch)[0]
+    return c if c in "LN" else "C" if c == "C" and ch not in "\t\n\r\v\f" else "S" if ch.isspace() else "O"
+
+
+def sure(text: str, at: int) -> bool:
+    """Whether a pre-token starts here in any text that has these two characters: no
+    pre-token goes on from a letter to what isn't one, from a number to what isn't one, nor
+    from anything to white space. What ends there doesn't end in white space, whose
+    pre-tokens look at what follows."""
+    a, b = _kind(text[at - 1]), _kind(text[at])
+    return a not in "SC" and b != "C" and (b == "S" or a in "LN" and a != b)
+
+
 def boundaries(text: str) -> list[int]:
     """Where pre-tokens of a text start."""
     return [m.start() for m in _pattern().finditer(text)]
@@ -78,9 +94,8 @@ def stitch(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(doc_id, k, text): long texts cut at places where a pre-token starts in both of two overlapping chunks.
 
     Chunk k is [k*chunk, (k+1)*chunk + overlap). Both it and its successor see the
-    first `overlap` characters of the latter. The successor's own start may fall
-    inside a pre-token, so its first boundary is no evidence; any later one that the
-    former has as well is. Where none is common, the chunks are not cut there.
+    first `overlap` characters of the latter, and are cut at the first boundary there
+    that both have and that no context could move. Where there is none, they aren't cut.
     """
     n = F.ceil(F.length("text") / chunk).cast("int")
     at = long.select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
@@ -92,11 +107,9 @@ def stitch(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
         for b in batches:
             head, tail = [], []
             for t in b.column("part").to_pylist():
-                bs = boundaries(t)
-                # A boundary close to the part's end may be made by that end; only earlier ones are sure.
-                sure = [x for x in bs if x < len(t) - 1]
-                head.append([x for x in sure[1:] if x < overlap])
-                tail.append([x - chunk for x in sure if x >= chunk])
+                bs = [x for x in boundaries(t) if 0 < x < len(t) - 1 and (x < overlap or x >= chunk) and sure(t, x)]
+                head.append([x for x in bs if x < overlap])
+                tail.append([x - chunk for x in bs if x >= chunk])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "k")], pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], ["doc_id", "k", "head", "tail"])
 
     s = cut.mapInArrow(seams, "doc_id bigint, k int, head array<int>, tail array<int>")
