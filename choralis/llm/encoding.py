@@ -364,7 +364,9 @@ class Doctor:
 
 def pair_model(values: DataFrame) -> Broadcast:
     """Counts over all values (field, id, value), at the executors."""
-    rows = values.filter("value is not null").mapInArrow(_count, "model int, kind int, key int, n bigint").groupBy("model", "kind", "key").agg(F.sum("n").alias("n")).collect()
+    counts = values.filter("value is not null").mapInArrow(_count, "model int, kind int, key int, n bigint").groupBy("model", "kind", "key").agg(F.sum("n").alias("n"))
+    # A pair's own occurrence proves nothing, so pairs that occur once are as pairs that don't: they needn't come.
+    rows = counts.filter("kind = 1 or n > 1").collect()
     return values.sparkSession.sparkContext.broadcast(Pairs([tuple(r) for r in rows]))
 
 

@@ -50,6 +50,8 @@ BY_NAME = {n: c for c, ns in NAMES.items() for n in [c, *ns.split()]}
 
 #: Texts of each language in the training sample, and lines of each text.
 PER_LANGUAGE, PER_TEXT = 150, 24
+#: Characters of a text of the sample, in which its lines are looked for.
+SAMPLED = 20_000
 DIMENSIONS = 1 << 15
 EPOCHS, RATE, DECAY, BATCH = 6, 60.0, 1e-4, 128
 #: Steepness with which a margin becomes a probability, and the cost of a change of language.
@@ -212,7 +214,8 @@ def sample(lyrics: DataFrame, labels: DataFrame, usable: Callable[[str], bool])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE).select("id", "lang")
     # At most PER_LANGUAGE * 12 ids: the texts are picked from the scan by a broadcast of those.
-    rows = lyrics.select("id", "plain_lyrics").join(F.broadcast(chosen), "id").filter("plain_lyrics is not null").dropDuplicates(["id"]).collect()
+    rows = lyrics.select("id", F.substring("plain_lyrics", 1, SAMPLED).alias("plain_lyrics")).filter("plain_lyrics is not null").join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.min("lang").alias("lang"), F.min("plain_lyrics").alias("plain_lyrics")).collect()
     lines, out = [], []
     for r in sorted(rows, key=lambda r: r["id"]):
         if not usable(r["plain_lyrics"]):

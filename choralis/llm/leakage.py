@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 SPAN, WIDTH, CHANGED = 12, 3, 2
 #: Changed words are at least so many apart.
 APART = 8
-#: Items of a block.
-BLOCK = 20_000
+#: Items of a block: what a worker keeps of it is some tens of MB.
+BLOCK = 4_000
 WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 APOSTROPHES = str.maketrans("", "", "'’ʼ")
 

@@ -94,17 +94,19 @@ def frequent_words(texts: DataFrame) -> frozenset[str]:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
         for b in batches:
             for t in b.column("text").to_pylist():
-                n.update(TOKEN.findall(t.lower()))
+                ws = TOKEN.findall(t.lower())
+                n.update(ws)
+                n[""] += len(ws)
             if len(n) > 500_000:
                 yield out()
                 n.clear()
         yield out()
 
     words = texts.mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n").alias("t"))
-    # One row is put beside each word to compare with; at most 1 / FREQUENT words pass.
-    rows = words.join(F.broadcast(total)).filter(F.col("n") >= F.col("t") * FREQUENT).select("w").collect()
-    return frozenset(r["w"] for r in rows)
+    # The total is the row of no word. No more words than 1 / FREQUENT can be frequent, so the largest counts are all that come.
+    top = {r["w"]: r["n"] for r in words.orderBy(F.desc("n"), "w").limit(int(1 / FREQUENT) + 1).collect()}
+    total = top.pop("", 0)
+    return frozenset(w for w, n in top.items() if n >= total * FREQUENT)
 
 
 def unit_counts(texts: DataFrame, frequent) -> DataFrame:
