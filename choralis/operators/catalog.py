@@ -185,8 +185,7 @@ def build_stats(tracks: DataFrame, lyrics: DataFrame) -> DataFrame:
         F.count_if(F.col("last_lyrics_id").isNull()).alias("null_key"),
         F.count_if(F.col("last_lyrics_id").isNotNull() & F.col("hit").isNull()).alias("unmatched"),
     )
-    # A cross product of two one-row aggregates.
-    return both.crossJoin(l.agg(F.count("*").alias("lyrics")))
+    return both.select("*", l.agg(F.count("*")).scalar().alias("lyrics"))
 
 
 def agg_topology(catalog: DataFrame, per: int = P.ROOMS_PER_AGGREGATOR) -> DataFrame:
