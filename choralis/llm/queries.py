@@ -72,7 +72,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 def p5_groups(s: SparkSession, d: str) -> DataFrame:
     """Each artist's spellings: group and member forms."""
-    return variants.link(table(s, d, "tracks"))["artist_name"].select("group", "value").distinct()
+    return variants.link(table(s, d, "tracks"))[0].select("group", "value").distinct()
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
