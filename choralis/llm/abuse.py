@@ -28,16 +28,16 @@ from choralis.llm.lookalike import skeleton
 # adjective. Terms of several words are matched in order with up to two words between.
 LEXICON = """
 1.0 insult: bitch bitches cunt cunts slut sluts whore whores motherfucker motherfuckers scumbag scumbags asshole assholes dickhead wanker faggot faggots nigger niggers kike spic tranny retard cocksucker dumbass fuckface shithead douchebag
-1.0 insult: salope salopes connasse connard connards enculé pouffiasse fils-de-pute
-1.0 insult: schlampe hurensohn fotze missgeburt drecksau wichser arschloch nutte nutten miststück
-1.0 insult: puttana puttane stronzo stronza troietta vaffanculo bastardo testa-di-cazzo
-1.0 insult: hijo-de-puta hija-de-puta gilipollas cabrón cabrones pendejo malparido
-1.0 insult: filho-da-puta filha-da-puta vadia vadias arrombado otário-de-merda
-1.0 insult: сука суки шлюха шлюхи мразь ублюдок ублюдки пидор пидорас блядь мудак
-1.0 insult: kurwa kurwo suko szmata skurwysyn dziwka hoer kutwijf klootzak hora fitta jävla-hora πουτάνα μαλάκα くたばれ 死ねよ
-0.8 insult: bastard bastards puta putas puto pute putes hure huren troia escoria ordure vagabunda merda-de-gente mongrel
+1.0 insult: salope salopes connasse connard connards enculé pouffiasse pétasse enfoiré crevure raclure fils-de-pute sous-merde
+1.0 insult: schlampe hurensohn fotze missgeburt drecksau wichser arschloch nutte nutten miststück drecksack dreckstück abschaum hurenbock
+1.0 insult: puttana puttane stronzo stronza troietta zoccola vaffanculo bastardo bastarda merdaccia testa-di-cazzo
+1.0 insult: hijo-de-puta hija-de-puta gilipollas cabrón cabrones pendejo malparido ramera furcia maricón malnacido hijueputa
+1.0 insult: filho-da-puta filha-da-puta vadia vadias arrombado cabrão rameira desgraçado desgraçada otário-de-merda
+1.0 insult: сука суки шлюха шлюхи мразь ублюдок ублюдки пидор пидорас блядь мудак выродок гнида падла чмо стерва
+1.0 insult: kurwa kurwo suko szmata szmato skurwysyn dziwka dziwko śmieciu hoer slet kutwijf klootzak hora fitta jävla-hora πουτάνα μαλάκα くたばれ 死ねよ
+0.8 insult: bastard bastards тварь скотина урод bâtard bâtarde puta putas puto pute putes hure huren troia escoria ordure vagabunda merda-de-gente mongrel
 0.6 insult: parasite filthy-pig piece-of-shit zorra perra verpiss verpisse dummkopf idiota idiotas imbécile mistkerl
-0.5 insult: cow pig dog hoe dyke prick twat tramp skank shut-your-mouth halt-dein-maul ferme-ta-gueule stai-zitta cállate cala-a-boca заткнись
+0.5 insult: cow pig dog schwein maiale cerda porco cochon cagna cadela chienne свинья hoe dyke prick twat tramp skank shut-your-mouth halt-dein-maul ferme-ta-gueule stai-zitta cállate cala-a-boca заткнись
 0.6 sexual: fuck fucks fucked fucking fucker foder foda enculer ficken fick fickt scopare follar хуй ебать ебал pierdol jebać knulla neuken
 0.6 sexual: pussy blowjob handjob cum-on jerk-off cazzo polla schwanz chatte figa buceta coño
 0.5 sexual: dick cock tit tits boobs bite pau pica член suck-my lick-my suce-ma lutsch-meinen lutsch chúpame chupa succhiami соси get-on-your-knees swallow-my bend-over
