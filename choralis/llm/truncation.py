@@ -48,7 +48,9 @@ UNIT = re.compile(r"[\r\n\v\f]+|(?<=[.!?])[\"”']?\s+(?=[^\W\d_a-zа-яα-ω])"
 STOP = frozenset(".!?\"”…")
 #: Marks that a source puts where it cut.
 ELLIPSIS = re.compile(r"(…|\.{3})\s*$")
-MASK = (1 << 63) - 1
+MASK = np.uint64((1 << 63) - 1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+FILTER_BITS = 24
 LEVELS = R, K, B, C, T = range(5)
 
 
@@ -56,31 +58,55 @@ def units(s: str) -> list[str]:
     return [u for u in UNIT.split(s.strip()) if u and not u.isspace()]
 
 
-class Hasher:
-    """Chained 63-bit hashes of word sequences; words are hashed once and kept."""
+class Hasher(dict):
+    """Numbers words, and hashes sequences of them by the batch: the hash of a prefix is a
+    running sum of word hashes, each times a power for its place."""
 
     def __init__(self, frequent: frozenset[str]) -> None:
-        self.frequent, self.memo = frequent, {}
-
-    def word(self, w: str) -> tuple[int, int]:
-        got = self.memo.get(w)
-        if got is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            low = w.lower()
-            h = xxhash.xxh64_intdigest(low) & MASK
-            got = self.memo[w] = (h, h if low in self.frequent else 7)
-        return got
-
-    def unit(self, u: str) -> Iterator[tuple[int, int, int, int]]:
-        """Hashes of the levels R, K, B and C after each word."""
-        r = k = before = 0
-        for w in TOKEN.findall(u):
-            h, f = self.word(w)
-            r = (r * 1000003 + h) & MASK
-            k = (k * 1000003 + f) & MASK
-            yield r, k, (before * 31 + h) & MASK, h
-            before = h
+        super().__init__()
+        self.frequent = frequent
+        self.own, self.frame = [], []
+        self.powers = np.ones(1, np.uint64)
+
+    def __missing__(self, w: str) -> int:
+        low = w.lower()
+        h = xxhash.xxh64_intdigest(low)
+        self.own.append(h)
+        self.frame.append(h if low in self.frequent else 7)
+        i = self[w] = len(self.own) - 1
+        return i
+
+    def renew(self) -> None:
+        """Forget all words when they are many; between batches only."""
+        if len(self) > 500_000:
+            self.clear()
+            self.own, self.frame = [], []
+
+    def levels(self, words: list[str], sizes: list[int]) -> list[np.ndarray]:
+        """Hashes of the levels R, K, B and C behind each word. words: those of all units, one
+        unit of so many words after the other, none empty."""
+        at = np.array([self[w] for w in words], np.int64)
+        n = np.array(sizes, np.int64)
+        start = np.concatenate([[0], np.cumsum(n)[:-1]])
+        place = np.arange(len(at)) - np.repeat(start, n)
+        while len(self.powers) <= n.max():
+            self.powers = np.concatenate([self.powers, self.powers * self.powers[-1] * BASE])
+        power = self.powers[place]
+        own = np.array(self.own, np.uint64)[at]
+        out = []
+        for h in (own, np.array(self.frame, np.uint64)[at]):
+            terms = h * power
+            total = np.cumsum(terms)
+            out.append(total - np.repeat(total[start] - terms[start], n))
+        before = np.concatenate([[np.uint64(0)], own[:-1]])
+        before[start] = 0
+        out += [before * np.uint64(31) + own, own]
+        return [(x & MASK).astype(np.int64) for x in out]
+
+
+def _cell(h: np.ndarray, level: int) -> np.ndarray:
+    """Place of a hash in the filter."""
+    return ((h.astype(np.uint64) + np.uint64(level)) * BASE >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -109,38 +135,62 @@ def frequent_words(texts: DataFrame) -> frozenset[str]:
     return frozenset(w for w, n in top.items() if n >= total * FREQUENT)
 
 
-def unit_counts(texts: DataFrame, frequent) -> DataFrame:
+def wanted(ends: DataFrame) -> np.ndarray:
+    """A filter of fixed size (2^FILTER_BITS bits) of the hashes that endings ask for. What it
+    lets through in vain costs time only."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = np.unique(np.concatenate([_cell(b.column(c).to_numpy(), lv) for lv, c in zip((R, K, B), "rkb", strict=True)]))
+            bits = np.left_shift(np.ones(len(cells), np.int64), cells & 63)
+            yield pa.RecordBatch.from_arrays([pa.array(cells >> 6, pa.int64()), pa.array(bits, pa.int64())], ["word", "bits"])
+
+    rows = ends.select("r", "k", "b").mapInArrow(scan, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in rows:
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
     """(level, h, whole, goes_on): how often what h stands for ended a unit inside a text,
-    and how often a unit went on after it. The last unit of a text isn't counted but at
-    level T, as a whole, for customary closes."""
+    and how often a unit went on after it, for what passes the filter `asked`, and for all
+    last words. The last unit of a text isn't counted but at level T, as a whole, for
+    customary closes. Totals are at level -1."""
     schema = pa.schema([("level", pa.int32()), ("h", pa.int64()), ("whole", pa.int64()), ("goes_on", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(frequent.value)
-        whole, on = [Counter() for _ in LEVELS], [Counter() for _ in LEVELS]
-
-        def out() -> pa.RecordBatch:
-            rows = [(lv, h, n, 0) for lv in LEVELS for h, n in whole[lv].items()] + [(lv, h, 0, n) for lv in LEVELS for h, n in on[lv].items()]
-            for c in (*whole, *on):
-                c.clear()
-            return _batch(rows, schema)
+    def part(level: int, h: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        u, back = np.unique(h, return_inverse=True)
+        whole = np.bincount(back, last, len(u)).astype(np.int64)
+        return [np.full(len(u), level, np.int32), u, whole, np.bincount(back, minlength=len(u)) - whole]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bits = Hasher(frequent.value), asked.value
         for b in batches:
+            hasher.renew()
+            words, sizes, closes = [], [], []
             for t in b.column("text").to_pylist():
                 us = units(t)
                 for u in us[:-1]:
-                    hs = list(hasher.unit(u))
-                    if hs:
-                        for lv, h in zip((R, K, B, C), hs[-1], strict=True):
-                            whole[lv][h] += 1
-                        for lv, col in zip((R, K, B, C), zip(*hs[:-1], strict=True), strict=False):
-                            on[lv].update(col)
+                    if ws := TOKEN.findall(u):
+                        words += ws
+                        sizes.append(len(ws))
                 if us:
-                    last = us[-1].strip()
-                    whole[T][xxhash.xxh64_intdigest(last) & MASK] += 1
-            if len(on[R]) + len(on[B]) > 500_000:
-                yield out()
-        yield out()
+                    closes.append(xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK))
+            close = np.array(closes, np.int64)
+            parts = [part(T, close, np.ones(len(close)))]
+            if words:
+                last = np.zeros(len(words), bool)
+                last[np.cumsum(sizes) - 1] = True
+                for lv, h in enumerate(hasher.levels(words, sizes)):
+                    if lv != C:
+                        cell = _cell(h, lv)
+                        keep = bits[cell >> 6] >> (cell & 63) & 1 == 1
+                        parts.append(part(lv, h[keep], last[keep]))
+                    else:
+                        parts.append(part(lv, h, last))
+                parts.append([np.array([x], np.int64) for x in (-1, 0, len(sizes), len(words) - len(sizes))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
     counts = texts.mapInArrow(count, "level int, h bigint, whole bigint, goes_on bigint")
     return counts.groupBy("level", "h").agg(F.sum("whole").alias("whole"), F.sum("goes_on").alias("goes_on"))
@@ -155,7 +205,8 @@ def endings(docs: DataFrame, frequent) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(frequent.value)
         for b in batches:
-            rows = []
+            hasher.renew()
+            rows, ends_ = [], []
             for i, src, t, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "text", "n_chars")), strict=True):
                 us = units(t)
                 if not us:
@@ -163,14 +214,19 @@ def endings(docs: DataFrame, frequent) -> DataFrame:
                 size, raw = len(t), len(t.encode())
                 marked = ELLIPSIS.search(us[-1]) is not None
                 last = ELLIPSIS.sub("", us[-1]).strip() if marked else us[-1].strip()
-                hs = list(hasher.unit(last))
-                r, k, bb, c = hs[-1] if hs else (0, 0, 0, 0)
+                ends_.append(TOKEN.findall(last) or [""])
                 stops = [u.strip()[-1] in STOP for u in us[:-1]]
                 prose = len(stops) >= 2 and sum(stops) >= 0.8 * len(stops)
                 # A stored length is evidence only if it can't be another way to count the same text.
                 missing = n - size if n is not None and n != raw and n > size else 0
-                rows.append((i, src, size, raw, marked, us[-1].endswith("�"), prose, us[-1].strip()[-1] in STOP, missing, r, k, bb, c, xxhash.xxh64_intdigest(us[-1].strip()) & MASK))
-            yield _batch(rows, schema)
+                rows.append((i, src, size, raw, marked, us[-1].endswith("�"), prose, us[-1].strip()[-1] in STOP, missing, 0, 0, 0, 0, xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK)))
+            out = _batch(rows, schema)
+            if rows:
+                sizes = [len(e) for e in ends_]
+                at = np.cumsum(sizes) - 1
+                for name, h in zip("rkbc", hasher.levels([w for e in ends_ for w in e], sizes), strict=True):
+                    out = out.set_column(names.index(name), name, pa.array(h[at], pa.int64()))
+            yield out
 
     ddl = ", ".join(f"{n} {'string' if n == 'source' else 'boolean' if k == pa.bool_() else 'bigint'}" for n, k in zip(names, kinds, strict=True))
     return docs.select("doc_id", "source", "text", "n_chars").mapInArrow(scan, ddl)
@@ -253,12 +309,13 @@ def judge(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_words(d.select("text")))
     # Both are read several times below, and are narrow: computed once and kept in the shared folder.
-    counts = stored(unit_counts(d.select("text"), frequent))
     ends = stored(endings(d, frequent))
-    totals = counts.filter(F.col("level") == C).agg(
-        F.coalesce(F.sum("whole"), F.lit(0)).alias("units"),
-        F.coalesce(F.sum("goes_on"), F.lit(0)).alias("prefixes"),
-        F.count_if((F.col("whole") == 1) & (F.col("goes_on") == 0)).alias("singles"),
+    counts = stored(unit_counts(d.select("text"), frequent, spark.sparkContext.broadcast(wanted(ends))))
+    total, word = F.col("level") == -1, F.col("level") == C
+    totals = counts.agg(
+        F.coalesce(F.sum(F.when(total, F.col("whole"))), F.lit(0)).alias("units"),
+        F.coalesce(F.sum(F.when(total, F.col("goes_on"))), F.lit(0)).alias("prefixes"),
+        F.count_if(word & (F.col("whole") == 1) & (F.col("goes_on") == 0)).alias("singles"),
     ).first()
     units_, prefixes = max(1, totals["units"]), max(1, totals["prefixes"])
     # A last word that is nowhere else: so rare among whole units, so frequent among pieces of words.
