@@ -42,7 +42,7 @@ GAIN, GAIN_UTF8 = 9.0, 3.0
 # Encodings that text is wrongly read with, and those it is written in.
 READ_AS = ["cp1252", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp866", "mac_roman", "koi8_r"]
 READ_AS_WIDE = ["gb18030", "cp932", "big5", "cp949"]
-WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "cp1253", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp932", "euc_jp", "gb18030"]
+WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "cp1253", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "iso8859_7", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp932", "euc_jp", "gb18030"]
 
 TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 LINES = re.compile(r"[\r\n]+")
