@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,22 +118,32 @@ def room_parts(catalog: DataFrame, size: Column, roll: int = P.PART_ROLL_BYTES)
 
     A part is closed by the record with which it reaches `roll` bytes; every record
     costs one byte more than its size for the separator. Closing resets the count, so
-    this is a fold, not a division of a running sum. Rooms are sized to some tens of
-    MB, and only ids and sizes are gathered for the fold, not the records.
+    this is a fold, not a division of a running sum. Ids and sizes alone are shuffled,
+    and a task streams through its sorted rooms, a step per part.
     """
-    each = catalog.select("room", "id", size.alias("bytes")).groupBy("room").agg(F.array_sort(F.collect_list(F.struct("id", "bytes"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("int").alias("part"), F.lit(0).cast("bigint").alias("filled"), F.expr("cast(array() as array<struct<id:bigint,part:int,bytes:bigint>>)").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        filled = s["filled"] + r["bytes"] + F.lit(1)
-        full = filled >= roll
-        return F.struct(
-            (s["part"] + full.cast("int")).alias("part"),
-            F.when(full, F.lit(0)).otherwise(filled).cast("bigint").alias("filled"),
-            F.concat(s["out"], F.array(F.struct(r["id"].alias("id"), s["part"].alias("part"), r["bytes"].alias("bytes")))).alias("out"),
-        )
-
-    return each.select("room", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select("room", "r.id", "r.part", "r.bytes")
+    each = catalog.select("room", "id", size.alias("bytes")).repartition("room").sortWithinPartitions("room", "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, part, filled = None, 0, 0
+        for b in batches:
+            rooms, sizes = b.column("room").to_numpy(), b.column("bytes").to_numpy()
+            out = np.zeros(len(rooms), np.int32)
+            total = np.cumsum(sizes + 1)
+            at = 0
+            while at < len(rooms):
+                if rooms[at] != room:
+                    room, part, filled = rooms[at], 0, 0
+                end = at + int(np.searchsorted(rooms[at:], room, "right"))
+                before = total[at - 1] if at else 0
+                last = at + int(np.searchsorted(total[at:end], before - filled + roll))
+                out[at : last + 1] = part
+                if last < end:
+                    part, filled, at = part + 1, 0, last + 1
+                else:
+                    filled, at = filled + int(total[end - 1] - before), end
+            yield pa.RecordBatch.from_arrays([b.column("room"), b.column("id"), pa.array(out), b.column("bytes")], ["room", "id", "part", "bytes"])
+
+    return each.mapInArrow(fold, "room int, id bigint, part int, bytes bigint")
 
 
 def part_sizes(parts: DataFrame) -> DataFrame:
