@@ -13,6 +13,7 @@ from choralis.operators import catalog as C
 from choralis.operators import lookup as L
 from choralis.operators import search as S
 from choralis.plans import topology as P
+from choralis.schema import API_COLUMNS, TRACKS
 from choralis.sources.tables import table
 
 ROOMS = 100
@@ -74,6 +75,7 @@ def _topology(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "project_tracks": lambda s, d: C.project_tracks(_t(s, d)),
     "project_lyrics": lambda s, d: C.project_lyrics(_l(s, d)),
+    "scan_catalog": lambda s, d: s.read.schema(TRACKS).parquet(f"{d}/tracks.parquet").drop("created_at", "updated_at"),
     "dedup_ids": lambda s, d: C.dedup_ids(_l(s, d).select("id", "track_id", "plain_lyrics", "source")),
     "catalog": lambda s, d: C.build_catalog(_t(s, d), _l(s, d)),
     "catalog_union": lambda s, d: C.catalog_union(_t(s, d), _l(s, d)),
@@ -208,7 +210,12 @@ FROM rq LEFT JOIN nv nq ON nq.v = q LEFT JOIN nv nt_ ON nt_.v = track_name LEFT
 WHERE kind = 'search' AND ({given('q')} OR {given('track_name')})) r JOIN nt t
 ON CASE WHEN r.words IS NOT NULL THEN len(list_filter(r.words, lambda x: NOT ({three.format('x')}))) = 0
 ELSE {field('r.a', 'nameLower')} AND {field('r.b', 'artistNameLower')} AND {field('r.c', 'albumNameLower')} END"""
+    units = "flatten(list_transform(string_split(q, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) // 1024), 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END))"
+    java = f"list_reduce(list_prepend(0::BIGINT, list_transform({units}, lambda u: u::BIGINT)), lambda h, u: (h * 31 + u) % 4294967296)"
     return {
+        "scan_catalog": "SELECT * EXCLUDE (created_at, updated_at) FROM tracks",
+        "super_route": f"SELECT q, 'super-' || abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 10 AS super FROM (SELECT q, {java} AS h FROM (SELECT DISTINCT q FROM requests WHERE q IS NOT NULL))",
+        "api_json": w + f"SELECT id, to_json(struct_pack({', '.join(f'{c} := {c}' for c in API_COLUMNS)}))::VARCHAR AS json FROM cat",
         "project_tracks": w + "SELECT * FROM pt",
         "project_lyrics": "SELECT id AS lyrics_id, nullif(plain_lyrics, '') AS plainLyrics, nullif(synced_lyrics, '') AS syncedLyrics, nullif(lyricsfile, '') AS lyricsfile, coalesce(instrumental <> 0, false) AS instrumental FROM lyrics",
         "dedup_ids": "SELECT DISTINCT id, track_id, plain_lyrics, source FROM lyrics",
