@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from choralis.operators import catalog as C
 from choralis.plans.topology import INDEX_ENTRIES_PER_PART, Topology
 from choralis.schema import CATALOG
+from choralis.sources.ship import ship
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -46,6 +48,7 @@ def write_catalog(catalog: DataFrame, path: str, topology: Topology, records_per
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A built catalogue. The schema is given, so no file is opened to infer it."""
+    ship(spark)
     return spark.read.schema(T.StructType([*CATALOG.fields, T.StructField("room", T.IntegerType())])).parquet(f"{path}/catalog")
 
 
