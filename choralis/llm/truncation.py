@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ from choralis.llm.common import stored
 FREQUENT = 1e-3
 #: A whole unit of few words that ends this share of all texts is a customary close.
 CLOSING = 1e-3
+#: A whole unit that occurs so often, or is gone on from, is judged by itself alone.
+OFTEN = 30
 #: Prior log odds of a cut that isn't at a limit.
 PRIOR = math.log(0.15 / 0.85)
 #: Log-likelihood by which a limit must explain a source's lengths better than none does.
@@ -82,10 +85,12 @@ class Hasher(dict):
             self.clear()
             self.own, self.frame = [], []
 
-    def levels(self, words: list[str], sizes: list[int]) -> list[np.ndarray]:
-        """Hashes of the levels R, K, B and C behind each word. words: those of all units, one
-        unit of so many words after the other, none empty."""
-        at = np.array([self[w] for w in words], np.int64)
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.array([self[w] for w in words], np.int64)
+
+    def levels(self, at: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        """Hashes of the levels R, K, B and C behind each word. at: numbers of the words of all
+        units, one unit of so many words after the other, none empty."""
         n = np.array(sizes, np.int64)
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         place = np.arange(len(at)) - np.repeat(start, n)
@@ -182,13 +187,18 @@ def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
             if words:
                 last = np.zeros(len(words), bool)
                 last[np.cumsum(sizes) - 1] = True
-                for lv, h in enumerate(hasher.levels(words, sizes)):
-                    if lv != C:
-                        cell = _cell(h, lv)
-                        keep = bits[cell >> 6] >> (cell & 63) & 1 == 1
-                        parts.append(part(lv, h[keep], last[keep]))
-                    else:
-                        parts.append(part(lv, h, last))
+                at = hasher.numbers(words)
+                for lv, h in enumerate(hasher.levels(at, sizes)[:C]):
+                    cell = _cell(h, lv)
+                    keep = bits[cell >> 6] >> (cell & 63) & 1 == 1
+                    # All pairs at ends are counted, to know how many are seen but once.
+                    keep = keep | last if lv == B else keep
+                    parts.append(part(lv, h[keep], last[keep]))
+                # Of single words all are counted, by their numbers.
+                own = (np.array(hasher.own, np.uint64) & MASK).astype(np.int64)
+                whole, every = (np.bincount(x, minlength=len(own)) for x in (at[last], at))
+                seen = np.flatnonzero(every)
+                parts.append([np.full(len(seen), C, np.int32), own[seen], whole[seen], (every - whole)[seen]])
                 parts.append([np.array([x], np.int64) for x in (-1, 0, len(sizes), len(words) - len(sizes))])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
@@ -198,8 +208,8 @@ def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
 
 def endings(docs: DataFrame, frequent) -> DataFrame:
     """One row per text that isn't blank, with its lengths and the hashes of its last unit."""
-    names = ["doc_id", "source", "chars", "bytes", "marked", "broken", "prose", "stopped", "missing", "r", "k", "b", "c", "t"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), *[pa.int64()] * 5]
+    names = ["doc_id", "source", "chars", "bytes", "marked", "broken", "prose", "stopped", "pictured", "wordy", "missing", "r", "k", "b", "c", "t"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 6, pa.int64(), *[pa.int64()] * 5]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +229,14 @@ def endings(docs: DataFrame, frequent) -> DataFrame:
                 prose = len(stops) >= 2 and sum(stops) >= 0.8 * len(stops)
                 # A stored length is evidence only if it can't be another way to count the same text.
                 missing = n - size if n is not None and n != raw and n > size else 0
-                rows.append((i, src, size, raw, marked, us[-1].endswith("�"), prose, us[-1].strip()[-1] in STOP, missing, 0, 0, 0, 0, xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK)))
+                tail, word = us[-1].strip()[-1], ends_[-1][-1]
+                pictured = unicodedata.category(tail) in ("So", "Sk", "Mn", "Cf") and tail != "\ufffd"
+                rows.append((i, src, size, raw, marked, tail == "\ufffd", prose, tail in STOP, pictured, word.isalpha() and len(ends_[-1]) > 1, missing, 0, 0, 0, 0, xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK)))
             out = _batch(rows, schema)
             if rows:
                 sizes = [len(e) for e in ends_]
                 at = np.cumsum(sizes) - 1
-                for name, h in zip("rkbc", hasher.levels([w for e in ends_ for w in e], sizes), strict=True):
+                for name, h in zip("rkbc", hasher.levels(hasher.numbers([w for e in ends_ for w in e]), sizes), strict=True):
                     out = out.set_column(names.index(name), name, pa.array(h[at], pa.int64()))
             yield out
 
@@ -292,7 +304,9 @@ def fit_source(h: pd.DataFrame) -> pd.DataFrame:
 def limits(ends: DataFrame) -> DataFrame:
     """(source, unit, limit, slack, log_odds, ...) of each source whose lengths are censored.
 
+    A text that was collected again counts once, else copies of a long text look like a limit.
     The histogram is aggregated first; a source's own is at most some ten thousand bins."""
+    ends = ends.select("source", "chars", "bytes", "r", "t").distinct()
     binned = lambda c: F.when(F.col(c) <= FINE, F.col(c)).otherwise(F.round(F.exp(F.round(F.log(c), 3))).cast("bigint"))
     each = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), binned("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), binned("bytes").alias("length"))))
     hist = ends.select("source", each.alias("_h")).groupBy("source", "_h.unit", "_h.length").agg(F.count("*").alias("n"))
@@ -311,15 +325,17 @@ def judge(docs: DataFrame) -> DataFrame:
     # Both are read several times below, and are narrow: computed once and kept in the shared folder.
     ends = stored(endings(d, frequent))
     counts = stored(unit_counts(d.select("text"), frequent, spark.sparkContext.broadcast(wanted(ends))))
-    total, word = F.col("level") == -1, F.col("level") == C
+    total, word, pair = F.col("level") == -1, F.col("level") == C, F.col("level") == B
     totals = counts.agg(
         F.coalesce(F.sum(F.when(total, F.col("whole"))), F.lit(0)).alias("units"),
         F.coalesce(F.sum(F.when(total, F.col("goes_on"))), F.lit(0)).alias("prefixes"),
         F.count_if(word & (F.col("whole") == 1) & (F.col("goes_on") == 0)).alias("singles"),
+        F.count_if(pair & (F.col("whole") == 1) & (F.col("goes_on") == 0)).alias("pairs"),
     ).first()
     units_, prefixes = max(1, totals["units"]), max(1, totals["prefixes"])
     # A last word that is nowhere else: so rare among whole units, so frequent among pieces of words.
     unseen = math.log(max(totals["singles"] / units_, 1e-3) / 0.5)
+    unseen_pair = math.log(max(totals["pairs"] / units_, 1e-3) / 0.8)
     texts = ends.agg(F.count("*")).first()[0]
 
     # Each ending meets the counts of its levels by hash, in one join: rows (doc, level, hash).
@@ -330,7 +346,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     lim = limits(ends).select("source", "unit", "limit", "slack", F.col("log_odds").alias("limit_odds"))
     e = e.join(lim, "source", "left")
-    facts = Facts(units_, prefixes, unseen, max(3.0, CLOSING * texts))
+    facts = Facts(units_, prefixes, unseen, unseen_pair, max(3.0, CLOSING * texts))
     return e.mapInPandas(lambda parts: (facts.decide(x) for x in parts), "doc_id bigint, source string, cut boolean, log_odds double, at_limit boolean, ending double")
 
 
@@ -341,6 +357,7 @@ class Facts:
     units: int
     prefixes: int
     unseen: float
+    unseen_pair: float
     customary: float
 
     def ratio(self, x: pd.DataFrame, level: str) -> np.ndarray:
@@ -354,15 +371,17 @@ class Facts:
         frame = np.where(n["k"] >= 5, lr["k"], np.where(n["b"] >= 5, lr["b"], np.nan))
         known = np.where(np.isnan(frame), 0.0, frame)
         out = np.where(np.isnan(frame), lr["c"], frame)
-        out = np.where(x["cw"] == 0, known + lr["c"], out)
+        # A last word that ends few units speaks against an end, whatever the frame says.
+        out = np.where((x["cw"] == 0) | (lr["c"] < -2), known + np.minimum(lr["c"], 0), out)
+        out = np.where((n["b"] == 0) & x["wordy"].to_numpy(bool), np.minimum(out, np.clip(known, -3, 3) + self.unseen_pair), out)
         out = np.where(n["c"] == 0, np.clip(known, -3, 3) + self.unseen, out)
-        out = np.where(n["r"] >= 3, np.clip(lr["r"], -6, 6), out)
+        out = np.where(n["r"] >= OFTEN, np.clip(lr["r"], -6, 6), out)
         prose, stopped = x["prose"].to_numpy(bool), x["stopped"].to_numpy(bool)
         out = np.where(prose, np.where(stopped, np.maximum(out, 3), np.minimum(out, -4)), out)
         closing = x["tw"].to_numpy(float) >= self.customary
         out = np.where(closing, np.maximum(out, 3), out)
-        # A stop closes a text, unless it stands at the limit, where a source may put an ellipsis.
-        out = np.where(stopped & ~at_limit, np.maximum(out, 0), out)
+        # A stop or a picture closes a text, unless it stands at the limit, where a source may put an ellipsis.
+        out = np.where((stopped | x["pictured"].to_numpy(bool)) & ~at_limit, np.maximum(out, 0), out)
         return np.where(x["broken"].to_numpy(bool), -8.0, out)
 
     def decide(self, x: pd.DataFrame) -> pd.DataFrame:
