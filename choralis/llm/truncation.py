@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choralis.llm.common import stored
+from choralis.llm.lookalike import form
 
 #: A word of at least this share of all words is kept in frames; there are at most 1/share such words.
 FREQUENT = 1e-3
@@ -48,6 +49,7 @@ FINE = 1 << 16
 
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+(?:['’][^\W_]+)*|[^\w\s]|�")
 UNIT = re.compile(r"[\r\n\v\f]+|(?<=[.!?])[\"”']?\s+(?=[^\W\d_a-zа-яα-ω])")
+EAST = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 STOP = frozenset(".!?\"”…")
 #: Marks that a source puts where it cut.
 ELLIPSIS = re.compile(r"(…|\.{3})\s*$")
@@ -208,8 +210,8 @@ def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
 
 def endings(docs: DataFrame, frequent) -> DataFrame:
     """One row per text that isn't blank, with its lengths and the hashes of its last unit."""
-    names = ["doc_id", "source", "chars", "bytes", "marked", "broken", "prose", "stopped", "pictured", "wordy", "missing", "r", "k", "b", "c", "t"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 6, pa.int64(), *[pa.int64()] * 5]
+    names = ["doc_id", "source", "chars", "bytes", "marked", "broken", "prose", "stopped", "pictured", "wordy", "east", "missing", "r", "k", "b", "c", "t"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 7, pa.int64(), *[pa.int64()] * 5]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +226,15 @@ def endings(docs: DataFrame, frequent) -> DataFrame:
                 size, raw = len(t), len(t.encode())
                 marked = ELLIPSIS.search(us[-1]) is not None
                 last = ELLIPSIS.sub("", us[-1]).strip() if marked else us[-1].strip()
-                ends_.append(TOKEN.findall(last) or [""])
+                # Letters that only look alike would be words seen nowhere else.
+                ends_.append(TOKEN.findall(form(last)) or [""])
                 stops = [u.strip()[-1] in STOP for u in us[:-1]]
                 prose = len(stops) >= 2 and sum(stops) >= 0.8 * len(stops)
                 # A stored length is evidence only if it can't be another way to count the same text.
                 missing = n - size if n is not None and n != raw and n > size else 0
                 tail, word = us[-1].strip()[-1], ends_[-1][-1]
                 pictured = unicodedata.category(tail) in ("So", "Sk", "Mn", "Cf") and tail != "\ufffd"
-                rows.append((i, src, size, raw, marked, tail == "\ufffd", prose, tail in STOP, pictured, word.isalpha() and len(ends_[-1]) > 1, missing, 0, 0, 0, 0, xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK)))
+                rows.append((i, src, size, raw, marked, tail == "\ufffd", prose, tail in STOP, pictured, word.isalpha() and len(ends_[-1]) > 1, EAST.match(word) is not None, missing, 0, 0, 0, 0, xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK)))
             out = _batch(rows, schema)
             if rows:
                 sizes = [len(e) for e in ends_]
@@ -369,10 +372,13 @@ class Facts:
         n = {lv: x[f"{lv}w"].to_numpy(float) + x[f"{lv}g"].to_numpy(float) for lv in "rkbc"}
         lr = {lv: self.ratio(x, lv) for lv in "rkbc"}
         frame = np.where(n["k"] >= 5, lr["k"], np.where(n["b"] >= 5, lr["b"], np.nan))
+        # Where words are written without spaces, each letter is a word here, and the last two say most.
+        east = x["east"].to_numpy(bool)
+        frame = np.where(east, np.where(n["b"] >= 5, lr["b"], np.nan), frame)
         known = np.where(np.isnan(frame), 0.0, frame)
         out = np.where(np.isnan(frame), lr["c"], frame)
         # A last word that ends few units speaks against an end, whatever the frame says.
-        out = np.where((x["cw"] == 0) | (lr["c"] < -2), known + np.minimum(lr["c"], 0), out)
+        out = np.where((x["cw"] == 0) | (lr["c"] < -2) & ~east, known + np.minimum(lr["c"], 0), out)
         out = np.where((n["b"] == 0) & x["wordy"].to_numpy(bool), np.minimum(out, np.clip(known, -3, 3) + self.unseen_pair), out)
         out = np.where(n["c"] == 0, np.clip(known, -3, 3) + self.unseen, out)
         out = np.where(n["r"] >= OFTEN, np.clip(lr["r"], -6, 6), out)
