@@ -47,9 +47,9 @@ CLEAR = 10.0
 #: Lengths above this are binned by their logarithm, so a source's histogram stays small.
 FINE = 1 << 16
 
-TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+(?:['’][^\W_]+)*|[^\w\s]|�")
+TOKEN = re.compile(r"[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]+(?:['’][^\W_\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]+)*|[^\w\s]")
 UNIT = re.compile(r"[\r\n\v\f]+|(?<=[.!?])[\"”']?\s+(?=[^\W\d_a-zа-яα-ω])")
-EAST = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+EAST = re.compile(r"[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]")
 STOP = frozenset(".!?\"”…")
 #: Marks that a source puts where it cut.
 ELLIPSIS = re.compile(r"(…|\.{3})\s*$")
@@ -233,7 +233,7 @@ def endings(docs: DataFrame, frequent) -> DataFrame:
                 # A stored length is evidence only if it can't be another way to count the same text.
                 missing = n - size if n is not None and n != raw and n > size else 0
                 tail, word = us[-1].strip()[-1], ends_[-1][-1]
-                pictured = unicodedata.category(tail) in ("So", "Sk", "Mn", "Cf") and tail != "\ufffd"
+                pictured = unicodedata.category(tail) in ("So", "Sk", "Mn", "Cf") and tail != "\ufffd" or tail in ")]}" and last.count("(") == last.count(")")
                 rows.append((i, src, size, raw, marked, tail == "\ufffd", prose, tail in STOP, pictured, word.isalpha() and len(ends_[-1]) > 1, EAST.match(word) is not None, missing, 0, 0, 0, 0, xxhash.xxh64_intdigest(us[-1].strip()) & int(MASK)))
             out = _batch(rows, schema)
             if rows:
@@ -386,7 +386,7 @@ class Facts:
         out = np.where(prose, np.where(stopped, np.maximum(out, 3), np.minimum(out, -4)), out)
         closing = x["tw"].to_numpy(float) >= self.customary
         out = np.where(closing, np.maximum(out, 3), out)
-        # A stop or a picture closes a text, unless it stands at the limit, where a source may put an ellipsis.
+        # A stop, a bracket or a picture closes a text, unless it stands at the limit, where a source may put an ellipsis.
         out = np.where((stopped | x["pictured"].to_numpy(bool)) & ~at_limit, np.maximum(out, 0), out)
         return np.where(x["broken"].to_numpy(bool), -8.0, out)
 
