@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -23,5 +24,7 @@ def ship(spark: SparkSession) -> None:
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
     if not sc.master.startswith("local"):
-        with tempfile.TemporaryDirectory() as d:
-            sc.addPyFile(shutil.make_archive(f"{d}/choralis", "zip", ROOT, "choralis"))
+        # The driver serves this file to executors as long as it runs.
+        d = tempfile.mkdtemp(prefix="ship-")
+        atexit.register(shutil.rmtree, d, True)
+        sc.addPyFile(shutil.make_archive(f"{d}/choralis", "zip", ROOT, "choralis"))
