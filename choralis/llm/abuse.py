@@ -61,8 +61,14 @@ LEXICON = """
 #: Letters, digits and signs that are put for a letter.
 DISGUISES = {"a": "4@", "b": "8", "c": "¢(k", "e": "3€", "f": "", "g": "96", "i": "1!|y", "k": "c", "l": "1|", "o": "0", "q": "", "s": "5$z", "t": "7+", "u": "v", "v": "u", "z": "2s"}
 ANY = "*#_?%•"
+#: Letters that are put for each other, as one of them.
+FOLD = str.maketrans({x: min(ch, t) for ch, put in DISGUISES.items() for t in put if t.isalpha() for x in (ch, t)})
 #: A word that makes up this share of all words is no misspelling.
 COMMON = 1e-6
+#: Steps of a letter that is disguised.
+DISGUISED = 0.25
+#: Distances that words of up to 4, up to 7, and more letters may have from a term.
+BUDGET_SHORT, BUDGET, BUDGET_LONG = 0.99, 1.0, 1.5
 WINDOW = 14
 THRESHOLD = 1.0
 QUOTED = 0.4
@@ -75,7 +81,6 @@ LINES = re.compile(r"[\r\n\v\f\x85  ]+")
 EDGES = ".,!?;:'’-–—"
 SPELLED = re.compile(r"(?<![^\W_])((?:[^\W\d_][ .\-_]){3,}[^\W\d_]{0,6})(?![^\W_])")
 APART = re.compile(r"(?<!\w)[^\W\d_][ .\-_][^\W\d_][ .\-_][^\W\d_](?!\w)")
-TRIPLE = re.compile(r"(.)\1\1")
 SAYING = re.compile(r"\b(said|says|say|wrote|writes|called|calls|quoted?|word|words|dit|dijo|sagte|disse|сказал[а]?)\b", re.I)
 QUOTES = re.compile(r"[\"“„«]([^\"“”„«»]{1,200})[\"”“»]")
 
@@ -108,6 +113,18 @@ class Lexicon:
         for w in self._terms:
             self.near.add(w)
             self.near.update(w[:i] + w[i + 1 :] for i in range(len(w)))
+        # Cheap edits neither add nor take away a kind of letter; a free edit, one of each at most.
+        self.kinds: dict[frozenset, list[Counter]] = {}
+        self.kinds_less: dict[frozenset, list[Counter]] = {}
+        for w in self._terms:
+            bag = Counter(w.translate(FOLD))
+            own = frozenset(bag)
+            self.kinds.setdefault(own, []).append(bag)
+            for k in {own, *(own - {c} for c in own)}:
+                self.kinds_less.setdefault(k, []).append(bag)
+        # Marks that decomposed terms have of their own are no signs.
+        self.marks = frozenset(c for w in self._terms for c in w if not c.isalpha())
+        self.longest = max(map(len, self._terms), default=0)
         # A phrase is looked for where its longest word, mostly its rarest, occurs.
         self.cues = {max(reversed(ws), key=len) for ps in self.phrases.values() for ws, _, _ in ps}
         cores = [w for w, (kind, _) in self.words.items() if kind in ("insult", "sexual") and 4 <= len(w) <= 8]
@@ -115,11 +132,41 @@ class Lexicon:
         self.heads = {a for a, _ in self.halves}
 
     def may_match(self, w: str) -> bool:
-        """A cheap necessary condition: a sign, a digit or a letter three times over, or one edit from a term."""
+        """A cheap necessary condition of match() as fuzzy() calls it: one free edit from a
+        term, or the letters of a term by kind. Beside cheap edits alone, words
+        above 7 letters may have one that is free."""
+        free = len(w) > 7
+        # A doubled letter costs least.
+        if len(w) > self.longest + BUDGET_LONG * 10 + 1:
+            return False
         w = w.replace("'", "").replace("’", "")
-        if not w.isalpha() or TRIPLE.search(w):
-            return len(w) <= 20 and 2 * sum(c.isalpha() for c in w) >= len(w)
-        return w in self.near or any(w[:i] + w[i + 1 :] in self.near for i in range(len(w)))
+        if not w.isalpha():
+            return self._signs(w, BUDGET_LONG if free else BUDGET)
+        if w in self.near or any(w[:i] + w[i + 1 :] in self.near for i in range(len(w))):
+            return True
+        bag = Counter(w.translate(FOLD))
+        own = frozenset(bag)
+        if any(t <= bag for t in self.kinds.get(own, ())):
+            return True
+        if not free:
+            return False
+        # Beside the free edit, what remains of the budget allows so many doubled letters.
+        most = len(w) - 1 - round((BUDGET_LONG - 1) * 10)
+        return any(t.total() >= most and (t - bag).total() <= 1 for k in (own, *(own - {c} for c in own)) for t in self.kinds_less.get(k, ()))
+
+    def _signs(self, w: str, budget: float) -> bool:
+        """The same for words with signs or digits, each of which costs as a disguise at least: they
+        are what is missing of a term but for one free edit, as is a letter that it doesn't have."""
+        bag = Counter(c for c in w.translate(FOLD) if c.isalpha() or c in self.marks)
+        signs = len(w) - bag.total()
+        if bag.total() < 2 or signs * DISGUISED > budget:
+            return False
+        one = signs * DISGUISED + 1 <= budget
+        for own, bags in self.kinds.items():
+            others = sum(n for c, n in bag.items() if c not in own and c.isalpha())
+            if others <= one and any((t - bag).total() <= signs + one for t in bags):
+                return True
+        return False
 
     def _add(self, w: str) -> None:
         self._terms.append(w)
@@ -148,9 +195,9 @@ class Lexicon:
                     if t == ch:
                         cost = row[j - 1]
                     elif t in put:
-                        cost = row[j - 1] + 0.25
+                        cost = row[j - 1] + DISGUISED
                     elif t in ANY:
-                        cost = row[j - 1] + 0.25
+                        cost = row[j - 1] + DISGUISED
                     else:
                         cost = row[j - 1] + 1
                     extra = 0.1 if t == ch or t == last else (0.4 if not t.isalnum() else 1)
@@ -314,9 +361,9 @@ def fuzzy(lex: Lexicon, w: str) -> tuple[str, float] | None:
     v = w.replace("ph", "f") if "ph" in w else w
     if not lex.may_match(v):
         return None
-    m = lex.match(v, 0.99 if len(v) < 5 else 1.0)
+    m = lex.match(v, BUDGET_SHORT if len(v) < 5 else BUDGET)
     if m is None and len(v) > 7:
-        m = lex.match(v, 1.5)
+        m = lex.match(v, BUDGET_LONG)
     if m is None:
         return None
     term, d = m

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from choralis.llm import abuse as A
@@ -66,6 +68,29 @@ def test_automaton_is_the_distance_within_the_budget():
             assert got[1] <= 1
 
 
+@pytest.mark.parametrize("w", ["azzhole", "kvnt", "biitchh", "motherfukker", "motherrfukker", "b***h", "fuuuuuck", "mothherfuckar", "cokcsukker"])
+def test_no_disguise_is_dropped_before_the_automaton(w):
+    assert A.fuzzy(A.Lexicon(), w) is not None
+
+
+def test_filter_is_a_necessary_condition():
+    """What the automaton finds within its budget passes the filter."""
+    rng, lex, n = random.Random(5), A.Lexicon(), 0
+    for t in lex._terms * 40:
+        w = list(t)
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(len(w))
+            puts = A.DISGUISES.get(w[i], "") or w[i]
+            w[i : i + 1] = rng.choice([[w[i], w[i]], [w[i], w[i - 1]], [rng.choice(puts)], [rng.choice(puts)], [rng.choice("aeknsty*'")], [], [w[i], rng.choice("aeks")]])
+            if not w:
+                break
+        w = "".join(w)
+        if sum(c.isalpha() for c in w) > 1 and lex.match(w, 1.5 if len(w) > 7 else 1.0 if len(w) > 4 else 0.99):
+            n += 1
+            assert lex.may_match(w), (t, w)
+    assert n > 1000
+
+
 def test_table(spark):
     rows = [(1, "Fuck you, you whore", "x"), (1, "Fuck you, you whore", "x"), (2, None, None), (3, "", "y"), (4, "la " * 60_000 + "\nyou worthless slut", "z")]
     df = spark.createDataFrame(rows, "id bigint, plain_lyrics string, text string")
