@@ -5,6 +5,10 @@ prototype of its look-alikes, decompose again. Texts of one skeleton look the
 same. The skeleton serves comparison; form() is the text to read: width and styled
 forms, ligatures, loose accents, spaces and invisible characters in their plain
 form, and letters of another alphabet within a word as those of the word's own.
+
+Whether letters stand for others is decided by the skeleton of each word: a word that its
+prototypes change is a case unless it is really of another script, by its own letters or,
+where all of them look Latin, by the words beside it.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ from pyspark.sql import functions as F
 
 # Letters of other alphabets that look like Latin ones, by Latin letter.
 LOOK_ALIKES = {
-    "a": "аα", "b": "Ьƅ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "f": "ẝ", "g": "ɡց", "h": "һհ", "i": "іιɩ", "j": "јϳ",
-    "k": "κк", "l": "ӏⅼ", "n": "ոη", "o": "оοօ", "p": "рρ", "q": "ԛզ", "r": "г", "s": "ѕ", "u": "υս", "v": "νѵ",
-    "w": "ԝω", "x": "хχ", "y": "уγү", "z": "ᴢ",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "D": "Ꭰ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј",
-    "K": "КΚ", "L": "Ꮮ", "M": "МΜϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "R": "Ꭱ", "S": "Ѕ", "T": "ТΤ",
-    "U": "Ս", "V": "ѴᏙ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
+    "a": "аαɑ", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "f": "ẝ", "g": "ɡց", "h": "һհ", "i": "іιɩ", "j": "јϳ",
+    "k": "κк", "l": "ӏⅼ", "n": "ոη", "o": "оοօᴏ", "p": "рρ", "q": "ԛզ", "r": "г", "s": "ѕꜱ", "u": "υսʋᴜ", "v": "νѵᴠ",
+    "w": "ԝωѡᴡ", "x": "хχ", "y": "уγүʏ", "z": "ᴢ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ",
+    "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜϺᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅᏚ", "T": "ТΤᎢ",
+    "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
 }
 #: Signs that only make another look alike in a skeleton: quotes and dashes of one kind.
 SIGNS = {"'": "\u2018\u2019\u02bc\u201b`\u00b4", '"': "\u201c\u201d\u201e\u201f", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"}
@@ -74,14 +78,43 @@ def _scripts(word: str) -> set[str]:
     return {m.lastgroup for m in _SCRIPTS.finditer(word)}
 
 
-def foreign_words(s: str) -> list[str]:
-    """Words that mix alphabets, or whose letters all look like Latin ones in a text that is Latin otherwise."""
-    words = [(w, _scripts(w)) for w in set(WORD.findall(s)) if not w.isascii()]
-    mixed = [w for w, sc in words if len(sc) > 1]
-    rest = [w for w, sc in words if sc and sc <= {"C", "G"} and len(sc) == 1]
-    if rest and re.search("[A-Za-z]", s) and all(skeleton(w).isascii() for w in rest):
-        mixed += rest
-    return mixed
+#: Look-alikes that are of no other alphabet: in a word they always stand for another letter.
+_ODD = re.compile("[" + "".join(x for xs in LOOK_ALIKES.values() for x in xs if _scripts(x) <= {"L"}) + "]")
+_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u13a0-\u13ff\u1f00-\u1fff]|" + _ODD.pattern)
+_BREAK = re.compile(r"[\r\n\v\f]")
+
+
+def foreign_words(s: str) -> list[re.Match]:
+    """Words, where they stand, whose letters stand for others: that mix alphabets, hold a
+    letter that is only a look-alike, or are made of letters that all look Latin and aren't
+    beside words of their own script."""
+    if not _OTHER.search(s):
+        return []
+    out, unsure, end, lines = [], [], 0, [[]]
+    # What tells the script of a line: words that can be read in one way only.
+    for m in WORD.finditer(s):
+        w = m[0]
+        if _BREAK.search(s, end, m.start()):
+            lines.append([])
+        end = m.end()
+        sc = {"L"} if w.isascii() else _scripts(w)
+        if not w.isascii() and (len(sc) > 1 or _ODD.search(w)):
+            out.append(m)
+            sc = {"?"}
+        elif sc and sc <= {"C", "G", "A", "H"} and skeleton(w).isascii():
+            sc = {"~"}
+            unsure.append((len(lines) - 1, len(lines[-1])))
+        lines[-1].append((m, sc))
+    if unsure:
+        told = [sc for ws in lines for _, sc in ws if sc and sc != {"?"} and sc != {"~"}]
+        latin = re.search("[A-Za-z]", s) is not None and all(sc == {"L"} for sc in told)
+        for i, j in unsure:
+            ws = lines[i]
+            tells = lambda part: next((sc for _, sc in part if sc and sc != {"?"} and sc != {"~"}), None)
+            beside = [sc for sc in (tells(ws[:j][::-1]), tells(ws[j + 1 :])) if sc]
+            if all(sc == {"L"} for sc in beside) if beside else latin:
+                out.append(ws[j][0])
+    return sorted(out, key=lambda m: m.start())
 
 
 def _styles(s: str) -> set[str]:
@@ -140,8 +173,8 @@ def form(s: str | None) -> str | None:
     if styles := _styles(t):
         t = "".join(unicodedata.normalize("NFKC", c) if c in styles else c for c in t)
     t = unicodedata.normalize("NFC", t)
-    for w in sorted(foreign_words(t), key=len, reverse=True):
-        t = re.sub(rf"(?<![^\W\d_]){re.escape(w)}(?![^\W\d_])", _own(w), t)
+    for m in reversed(foreign_words(t)):
+        t = t[: m.start()] + _own(m[0]) + t[m.end() :]
     return "".join(keep.get(c, c) for c in t)
 
 

@@ -49,6 +49,30 @@ def test_skeleton_ignores_composition(s):
     assert K.skeleton(unicodedata.normalize("NFD", s)) == K.skeleton(unicodedata.normalize("NFC", s))
 
 
+@pytest.mark.parametrize(
+    "s,want",
+    [
+        ("sin\u0261 it", "sing it"),
+        ("the \u0185ird", "the bird"),
+        ("l\u0269ght", "light"),
+        ("bli\u1d22zard", "blizzard"),
+        ("st\u0251r", "star"),
+        # A word wholly of look-alikes, in a text that holds real words of that script.
+        ("the \u0441\u043e\u0440 is here\nПривет, мир", "the cop is here\nПривет, мир"),
+        ("Люблю тебя\nsay \u03bf\u03c1\u03b1 now\nу меня", "Люблю тебя\nsay opa now\nу меня"),
+        ("ring the \u054d\u0585", "ring the Uo"),
+    ],
+)
+def test_letters_are_judged_word_by_word(s, want):
+    assert K.standing_in(s) == ["alphabet"]
+    assert K.form(s) == want and K.skeleton(s) == K.skeleton(want)
+
+
+@pytest.mark.parametrize("s", ["Sing with me\nу меня сухо, а там\nо", "hello у нас", "Не с тобой\nover and over", "ο κόσμος\nmy world"])
+def test_real_words_of_look_alikes(s):
+    assert K.standing_in(s) == [] and K.form(s) == s
+
+
 def test_table(spark):
     rows = [("name", 1, "Thе cat"), ("name", 1, "Thе cat"), ("name", 2, "The cat"), ("name", 3, None), ("name", 4, ""), ("name", 5, "ａ" * 100_000)]
     df = spark.createDataFrame(rows, "field string, id bigint, value string")
