@@ -38,6 +38,9 @@ IMPROBABLE = -2.0
 #: Bits that a value's text must gain by an inverse mapping from one single-byte
 #: encoding to another. Well-formed UTF-8 hardly arises by chance and needs less.
 GAIN, GAIN_UTF8 = 9.0, 3.0
+#: Bits that a run of words must gain within a line whose other words are not explained: as
+#: it is picked out of all runs of the line, it needs more.
+GAIN_RUN = 18.0
 
 # Encodings that text is wrongly read with, and those it is written in.
 READ_AS = ["cp1252", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp866", "mac_roman", "koi8_r"]
@@ -46,8 +49,11 @@ WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "cp1253", "koi8_r", "cp866", "iso885
 
 TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 LINES = re.compile(r"[\r\n]+")
-#: Share of a line's words outside ASCII that a single-byte mapping must explain.
+#: Share of a line's words outside ASCII that a single-byte mapping must explain for weak
+#: evidence to count; a run of words that gains enough by itself counts in any line.
 SHARE = 0.6
+#: Bits that a word costs a run if the run's mapping doesn't explain it.
+MISSED = 4.5
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: Signs of damage by themselves: the replacement character and the C1 controls.
 BROKEN = re.compile(r"[\ufffd\x80-\x9f]")
@@ -232,6 +238,19 @@ def segment(scores: list[float]) -> tuple[int, int] | None:
     return out
 
 
+def stretch(gains: list[float | None]) -> tuple[float, int, int]:
+    """(bits, first, end) of the maximum-scoring run of words, given the bits that a mapping
+    gains for each, or null for a word that it doesn't explain."""
+    best, run, start = (0.0, 0, 0), 0.0, 0
+    for i, g in enumerate(gains):
+        if run <= 0:
+            run, start = 0.0, i
+        run += -MISSED if g is None else g
+        if run > best[0]:
+            best = (run, start, i + 1)
+    return best
+
+
 def _run(token: str, model: Pairs) -> tuple[int, int] | None:
     """Characters of the improbable run, widened to whole stretches outside ASCII."""
     seg = segment(model.scores(token))
@@ -331,9 +350,11 @@ class Doctor:
                     here[m] += g
                     count[m] += 1
             for m, g in here.items():
-                # A single-byte encoding hurts the whole stretch, so most words of the line must agree.
+                # A single-byte encoding hurts a whole stretch: most words of the line, or a run that suffices alone.
                 if m.startswith("utf-8") or count[m] >= SHARE * len(cands):
                     gains[m] += g
+                elif (bits := self._stretch([t for t, _ in cands], m)[0]) >= GAIN_RUN:
+                    gains[m] += bits
             found += [(t, c) for t, c in cands if c]
         votes = [m for m, g in gains.items() if g >= (GAIN_UTF8 if m.startswith("utf-8") else GAIN)]
         if not votes:
@@ -350,16 +371,29 @@ class Doctor:
         return True, None if BROKEN.search(fixed) else fixed, order[0]
 
 
+    def _stretch(self, tokens: list[str], mapping: str) -> tuple[float, int, int]:
+        return stretch([max((g for m, g, _ in self.token(t) if m == mapping), default=None) for t in tokens])
+
     def _line(self, line: str, change: dict[str, str], best: str) -> str:
         """The line with its words restored; as a whole, where the best mapping is one
-        of single bytes and explains most of its words."""
+        of single bytes and explains most of its words, or the run of words that it explains."""
         toks = TOKEN.findall(line)
         if not best.startswith("utf-8") and sum(t in change for t in toks) >= SHARE * len(toks) > 0:
             real, _, name = best.partition(" as ")
             b = to_bytes(line, name)
             if b and (u := from_bytes(b, real)) and not _mixed("".join(TOKEN.findall(u))):
                 return u
-        return TOKEN.sub(lambda m: change.get(m[0], m[0]), line)
+        words = lambda x: TOKEN.sub(lambda m: change.get(m[0], m[0]), x)
+        if not best.startswith("utf-8") and toks:
+            real, _, name = best.partition(" as ")
+            bits, first, end = self._stretch(toks, best)
+            at = [m.span() for m in TOKEN.finditer(line)]
+            if bits >= GAIN_RUN:
+                lo, hi = at[first][0], at[end - 1][1]
+                b = to_bytes(line[lo:hi], name)
+                if b and (u := from_bytes(b, real)) and not _mixed("".join(TOKEN.findall(u))):
+                    return words(line[:lo]) + u + words(line[hi:])
+        return words(line)
 
 
 def pair_model(values: DataFrame) -> Broadcast:

@@ -53,6 +53,22 @@ def test_only_a_stretch(doctor):
     assert doctor.value(s)[:2] == (True, CLEAN["en"] + "\n" + CLEAN["fr"] + "\n" + CLEAN["ru"])
 
 
+@pytest.mark.parametrize("lang,read,written", [("ru", "cp1252", "cp1251"), ("el", "cp1252", "cp1253"), ("ru", "cp1251", "koi8_r")])
+def test_part_of_a_line(doctor, lang, read, written):
+    """Less than most of a line's words are hurt."""
+    w = CLEAN[lang].split()
+    hurt = [*w, *(x.encode(written).decode(read) for x in w[3:8]), *w[:3]]
+    assert doctor.value(" ".join(hurt))[:2] == (True, " ".join([*w, *w[3:8], *w[:3]]))
+
+
+def test_stretch_is_the_maximum():
+    g = [2.0, None, 6, 5, None, 7, None, None, 3]
+    w = [-E.MISSED if x is None else x for x in g]
+    bits, lo, hi = E.stretch(g)
+    assert bits == sum(w[lo:hi]) == max(sum(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1))
+    assert E.stretch([None])[0] == 0
+
+
 def test_lost_characters(doctor):
     assert doctor.value("Pit�zan")[:2] == (True, None)
 
