@@ -71,8 +71,9 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(s: SparkSession, d: str) -> DataFrame:
-    """Each artist's spellings: group and member forms."""
-    return variants.link(table(s, d, "tracks"))[0].select("group", "value").distinct()
+    """Spellings of each artist, song and album: field, group and member forms."""
+    artists, titles = variants.link(table(s, d, "tracks"))
+    return artists.unionByName(titles).select("field", "group", "value").distinct()
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:

@@ -38,3 +38,17 @@ def test_same_as_sql(spark, sf, name):
     cols = [c[0] for c in want.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_groups_have_all_fields(spark, tmp_path):
+    """The groups of songs and albums as well: each pair of p5_found is in one group of its field."""
+    rows = [(1, "Ballad of Nubrevu", "Christopher Dridrunu", "Voices of Rivara", 200.0), (2, "Balald of Nubrevu", "C. Dridrunu", "Voices of Rivara", 201.0), (3, "Ballad of Nubrevu", "Christopher Dridrunu", "Voices of Rivaar", 200.0)]
+    spark.createDataFrame(rows, "id bigint, name string, artist_name string, album_name string, duration double").write.parquet(str(tmp_path / "tracks.parquet"))
+    got = {}
+    for r in Q.p5_groups(spark, str(tmp_path)).collect():
+        got.setdefault((r["field"], r["group"]), set()).add(r["value"])
+    assert sorted((f, *sorted(v)) for (f, _), v in got.items()) == [
+        ("album_name", "Voices of Rivaar", "Voices of Rivara"),
+        ("artist_name", "C. Dridrunu", "Christopher Dridrunu"),
+        ("name", "Balald of Nubrevu", "Ballad of Nubrevu"),
+    ]
