@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,26 +32,102 @@ def catalogue_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OWN: dict[str, str] = {}
+_MADE: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Only where none is named, as in
-    tests on one machine, one temporary folder for the application."""
+    """The folder that the cluster names for checkpoints. Only where all tasks run in the
+    driver's own process, as in tests, and none is named, a temporary folder that ends with it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        # Executors would each write to a disk of their own, and what is read back would lack rows.
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = d = tempfile.mkdtemp(prefix="stages-")
+        atexit.register(shutil.rmtree, d, True)
+    return "file://" + _OWN[sc.applicationId]
+
+
+def _path(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, deleted when the driver ends."""
     app = spark.sparkContext.applicationId
-    if not d and app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="stages-")
-    return d or _OWN[app]
+    name = f"{shared_folder(spark)}/stages-{app}"
+    if app not in _MADE:
+        path, fs = _path(spark, name)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MADE.add(app)
+    return name
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, its
     lineage is cut, and the loss of an executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this application has stored so far, as a long-lived one may do between
+    queries. What was computed from stages and not written yet can't be read any more."""
+    path, fs = _path(spark, _run_folder(spark))
+    fs.delete(path, True)
+
+
+class Bits:
+    """A filter of hashes: tells those that were put in from nearly all others. Its size
+    follows their number, up to 2^MOST bits; beyond it, more are let through in vain."""
+
+    PER_KEY, LEAST, MOST, PROBES = 64, 16, 30, 4
+    ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.shift = words, np.uint64(64 - (len(words) * 64).bit_length() + 1)
+
+    @staticmethod
+    def _cells(h: np.ndarray, shift: np.uint64) -> Iterator[np.ndarray]:
+        h = h.astype(np.uint64)
+        h = h ^ h >> np.uint64(29)
+        return ((h * odd >> shift).astype(np.int64) for odd in Bits.ODD)
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Bits:
+        """The filter of all values of bigint columns. The driver gets its words, not the hashes."""
+        log = min(cls.MOST, max(cls.LEAST, (hashes.count() * len(hashes.columns) * cls.PER_KEY).bit_length()))
+        shift = np.uint64(64 - log)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cells = np.unique(np.concatenate([x for c in b.columns for x in cls._cells(c.to_numpy(zero_copy_only=False), shift)]))
+                word, at = np.unique(cells >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.left_shift(np.ones(len(cells), np.int64), cells & 63), at) if len(cells) else cells
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bits, pa.int64())], ["word", "bits"])
+
+        got = hashes.mapInArrow(scan, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(1 << (log - 6), np.int64)
+        words[got["word"].to_numpy()] = got["bits"].to_numpy()
+        return cls(words)
+
+    def among(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may have been put in."""
+        at = np.arange(len(h))
+        for k in range(self.PROBES):
+            x = h[at].astype(np.uint64)
+            x = x ^ x >> np.uint64(29)
+            cell = (x * self.ODD[k] >> self.shift).astype(np.int64)
+            at = at[(self.words[cell >> 6] >> (cell & 63)) & 1 == 1]
+        return at
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from choralis.llm import leakage as L
 
@@ -55,7 +57,28 @@ def test_same_as_all_diagonals(cases):
     assert got == want
 
 
-def test_blocks_and_empty(cases):
-    docs, items, want = cases
-    assert {(r["doc_id"], r["item_id"]) for r in L.leaks(docs, items, block=7).collect()} == want
+def test_empty(cases):
+    docs, items, _ = cases
     assert L.leaks(docs, items.limit(0)).collect() == [] and L.leaks(docs.limit(0), items).collect() == []
+
+
+def test_short_passages_and_repeated_rows(spark):
+    """A short passage must be there as a whole, but for a word inside."""
+    items = spark.createDataFrame([(1, "one two three"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "no"), (4, "red red red red red red red red red red red red red")], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, "x one TWO, three y"), (1, "x one TWO, three y"), (2, "a b c X e f g h"), (3, "a b c d e f g"), (4, "no"), (5, "red " * 5000), (6, "one 2 three")], "doc_id bigint, text string")
+    assert {tuple(r) for r in L.leaks(docs, items).collect()} == {(1, 1, 3), (2, 2, 8), (5, 4, 13), (6, 1, 3)}
+
+
+@given(st.integers(3, 60), st.lists(st.integers(0, 9), min_size=60, max_size=60), st.data())
+@settings(max_examples=200, deadline=None)
+def test_prefix_meets_every_stretch(n, counts, data):
+    """However changed words lie in a stretch, a shingle of the prefix stays whole."""
+    width = L.width_of(n)
+    kept = L.prefix(counts[: n - width + 1], list(range(n)), n)
+    size = data.draw(st.integers(min(L.SPAN, n), n))
+    start = data.draw(st.integers(0, n - size))
+    bad, p = set(), start + data.draw(st.integers(1, 12))
+    while p < start + size - 1:
+        bad.add(p)
+        p += data.draw(st.integers(L.APART, 20))
+    assert any(start <= s and s + width <= start + size and not bad & set(range(s, s + width)) for s in kept)
