@@ -2,11 +2,13 @@
 
 Two kinds of evidence are added up as log odds.
 
-Lengths: for each source, lengths are log-normal, right-censored at an unknown
-limit, in characters or in bytes. Both parameters are fitted by maximum likelihood
-(EM over the histogram of lengths) with each candidate limit, and a limit is taken if
-the censored model is far more likely than the plain one. The posterior that a
-value at the limit is a censored one follows from the tail and the density there.
+Lengths: for each source, lengths are log-normal, right-censored at unknown
+limits, in characters or in bytes. Each length that far more texts have than those around
+it is a candidate, whether or not longer texts exist (a limit may have been raised,
+or hold for a part of a source only). Parameters, and the share of texts that a limit cuts of those that
+reach it, are fitted by maximum likelihood (EM over the histogram of lengths) with each candidate, and a
+limit is taken if the censored model is far more likely than the plain one. The posterior that a
+value at the limit is a censored one follows from that share, the tail and the density there.
 
 Endings: how often does the corpus, inside its texts, end a unit (a line or a sentence)
 with what this text ends with, against going on after it? Counted for the whole unit,
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choralis.llm.common import stored
+from choralis.llm.common import Bits, stored
 from choralis.llm.lookalike import form
 
 #: A word of at least this share of all words is kept in frames; there are at most 1/share such words.
@@ -44,8 +46,10 @@ OFTEN = 30
 PRIOR = math.log(0.15 / 0.85)
 #: Log-likelihood by which a limit must explain a source's lengths better than none does.
 CLEAR = 10.0
-#: Lengths above this are binned by their logarithm, so a source's histogram stays small.
-FINE = 1 << 16
+#: A limit cuts at least this share of the texts that reach it.
+LEAST_SHARE = 0.05
+#: Lengths above this that fewer than PEAK texts have are binned by their logarithm, so a source's histogram stays small.
+FINE, PEAK = 1 << 16, 3
 
 TOKEN = re.compile(r"[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]+(?:['’][^\W_\u3005-\u3007\u3040-\u30ff\u3400-\u9fff]+)*|[^\w\s]")
 UNIT = re.compile(r"[\r\n\v\f]+|(?<=[.!?])[\"”']?\s+(?=[^\W\d_a-zа-яα-ω])")
@@ -55,7 +59,6 @@ STOP = frozenset(".!?\"”…")
 ELLIPSIS = re.compile(r"(…|\.{3})\s*$")
 MASK = np.uint64((1 << 63) - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-FILTER_BITS = 24
 LEVELS = R, K, B, C, T = range(5)
 
 
@@ -111,9 +114,8 @@ class Hasher(dict):
         return [(x & MASK).astype(np.int64) for x in out]
 
 
-def _cell(h: np.ndarray, level: int) -> np.ndarray:
-    """Place of a hash in the filter."""
-    return ((h.astype(np.uint64) + np.uint64(level)) * BASE >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+#: What tells hashes of different levels apart in the filter.
+SALT = 0x5851F42D4C957F2D
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -142,21 +144,10 @@ def frequent_words(texts: DataFrame) -> frozenset[str]:
     return frozenset(w for w, n in top.items() if n >= total * FREQUENT)
 
 
-def wanted(ends: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2^FILTER_BITS bits) of the hashes that endings ask for. What it
+def wanted(ends: DataFrame) -> Bits:
+    """A filter of the hashes that endings ask for, sized by how many they are. What it
     lets through in vain costs time only."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = np.unique(np.concatenate([_cell(b.column(c).to_numpy(), lv) for lv, c in zip((R, K, B), "rkb", strict=True)]))
-            bits = np.left_shift(np.ones(len(cells), np.int64), cells & 63)
-            yield pa.RecordBatch.from_arrays([pa.array(cells >> 6, pa.int64()), pa.array(bits, pa.int64())], ["word", "bits"])
-
-    rows = ends.select("r", "k", "b").mapInArrow(scan, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in rows:
-        out[r["word"]] = r["bits"]
-    return out
+    return Bits.of(ends.select(*[F.col(c).bitwiseXOR(F.lit(lv * SALT >> 3)).alias(c) for lv, c in zip((R, K, B), "rkb", strict=True)]))
 
 
 def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
@@ -172,7 +163,7 @@ def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
         return [np.full(len(u), level, np.int32), u, whole, np.bincount(back, minlength=len(u)) - whole]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = Hasher(frequent.value), asked.value
+        hasher, among = Hasher(frequent.value), asked.value.among
         for b in batches:
             hasher.renew()
             words, sizes, closes = [], [], []
@@ -191,8 +182,8 @@ def unit_counts(texts: DataFrame, frequent, asked) -> DataFrame:
                 last[np.cumsum(sizes) - 1] = True
                 at = hasher.numbers(words)
                 for lv, h in enumerate(hasher.levels(at, sizes)[:C]):
-                    cell = _cell(h, lv)
-                    keep = bits[cell >> 6] >> (cell & 63) & 1 == 1
+                    keep = np.zeros(len(h), bool)
+                    keep[among(h ^ np.int64(lv * SALT >> 3))] = True
                     # All pairs at ends are counted, to know how many are seen but once.
                     keep = keep | last if lv == B else keep
                     parts.append(part(lv, h[keep], last[keep]))
@@ -255,14 +246,16 @@ def _tail(x: float) -> float:
     return max(0.5 * math.erfc(x / math.sqrt(2)), 1e-300)
 
 
-def fit(length: np.ndarray, n: np.ndarray, limit: float | None) -> tuple[float, float, float]:
-    """(mu, sigma, log-likelihood) of log-lengths, right-censored at limit, by EM."""
+def fit(length: np.ndarray, n: np.ndarray, limit: float | None, at: np.ndarray | None = None) -> tuple[float, float, float, float]:
+    """(mu, sigma, share, log-likelihood) of log-lengths by EM. at: which lengths are those of
+    texts censored at the limit, all that reach it if not given; share of those that reach it."""
     x = np.log(length)
-    free = length < limit if limit else np.ones(len(x), bool)
-    xf, nf, m = x[free], n[free], float(n[~free].sum())
+    if at is None:
+        at = length >= limit if limit else np.zeros(len(x), bool)
+    xf, nf, m = x[~at], n[~at], float(n[at].sum())
     total = nf.sum() + m
     if not nf.sum():
-        return float(np.log(limit or 1)), 1.0, -math.inf
+        return float(np.log(limit or 1)), 1.0, 1.0, -math.inf
     mu = float((n * x).sum() / n.sum())
     sd = max(0.05, math.sqrt(float((n * (x - mu) ** 2).sum() / n.sum())))
     c = math.log(limit) if limit else 0.0
@@ -276,45 +269,70 @@ def fit(length: np.ndarray, n: np.ndarray, limit: float | None) -> tuple[float,
         mu2 = ((nf * xf).sum() + m * ex) / total
         var = ((nf * xf * xf).sum() + m * ex2) / total - mu2 * mu2
         mu, sd = float(mu2), math.sqrt(max(float(var), 2.5e-3))
-    ll = float((nf * (-np.log(sd * math.sqrt(2 * math.pi)) - (xf - mu) ** 2 / (2 * sd * sd) - xf)).sum())
+    ll, share = float((nf * (-np.log(sd * math.sqrt(2 * math.pi)) - (xf - mu) ** 2 / (2 * sd * sd) - xf)).sum()), 1.0
     if m:
-        ll += m * math.log(_tail((c - mu) / sd))
-    return mu, sd, ll
+        above = float(n[~at & (length > limit)].sum())
+        share = m / (m + above)
+        ll += m * math.log(_tail((c - mu) / sd) * share)
+        ll += above * math.log(1 - share) if above else 0.0
+    return mu, sd, share, ll
+
+
+def candidates(length: np.ndarray, n: np.ndarray, slack: int) -> list[int]:
+    """Positions of the lengths that far more texts have than those around, and of the greatest length."""
+    total = np.concatenate([[0.0], np.cumsum(n)])
+    upto = lambda v: total[np.searchsorted(length, v, "right")]
+    at = total[1:] - upto(length - slack - 1)
+    width = np.maximum(10.0, np.floor(length * 0.02))
+    around = upto(length + width) - upto(length - slack - 1 - width) - at
+    expected = (around + 0.5) / (2 * width) * (1 + slack)
+    clear = at * np.log(np.maximum(at, 1e-9) / expected) - (at - expected)
+    share = at / (total[-1] - total[1:] + at)
+    ok = (at >= PEAK) & (at > expected) & (clear > CLEAR) & (share >= LEAST_SHARE) | (np.arange(len(length)) == len(length) - 1) & (at >= PEAK)
+    return np.flatnonzero(ok & (n > 0)).tolist()
 
 
 def fit_source(h: pd.DataFrame) -> pd.DataFrame:
-    """The limit of one source, if it has one, from its histogram (unit, length, n)."""
-    best = None
+    """The limits of one source, if it has any, from its histogram (unit, length, n)."""
+    tried = []
     for unit, g in h.groupby("unit"):
         g = g.groupby("length", as_index=False)["n"].sum().sort_values("length")
         length, n = g["length"].to_numpy(float), g["n"].to_numpy(float)
-        top = length[-1]
         # Bytes may end up to three short of the limit, where a character didn't fit.
         slack = 3 if unit == "bytes" else 0
-        at = float(n[length >= top - slack].sum())
-        if at < 3 or len(length) < 5:
+        if len(length) < 5:
             continue
-        _, _, plain = fit(length, n, None)
-        mu, sd, ll = fit(np.where(length >= top - slack, top, length), n, top)
-        if ll - plain > CLEAR and (best is None or ll - plain > best[0]):
-            z = (math.log(top) - mu) / sd
-            tail, density = _tail(z), float(_phi(np.array(z))) / (sd * top)
-            best = (ll - plain, unit, int(top), slack, math.log(tail / max(density * (1 + slack), 1e-300)), at, float(n.sum()), mu, sd)
-    cols = ["source", "unit", "limit", "slack", "log_odds", "at_limit", "texts", "mu", "sigma"]
-    return pd.DataFrame([(h["source"].iloc[0], *best[1:])] if best else [], columns=cols)
+        plain = fit(length, n, None)[-1]
+        for i in candidates(length, n, slack):
+            top = length[i]
+            at = (length >= top - slack) & (length <= top)
+            mu, sd, share, ll = fit(np.where(at, top, length), n, top, at)
+            if ll - plain > CLEAR:
+                z = (math.log(top) - mu) / sd
+                tail, density = _tail(z), float(_phi(np.array(z))) / (sd * top)
+                tried.append((ll - plain, unit, int(top), slack, math.log(share * tail / max(density * (1 + slack), 1e-300)), float(n[at].sum()), float(n.sum()), mu, sd, share))
+    taken: list[tuple] = []
+    for t in sorted(tried, reverse=True):
+        # What is near a better one is the same limit, seen in the other unit or through the slack.
+        if all(abs(t[2] - o[2]) > 3 for o in taken):
+            taken.append(t)
+    cols = ["source", "unit", "limit", "slack", "log_odds", "at_limit", "texts", "mu", "sigma", "share"]
+    return pd.DataFrame([(h["source"].iloc[0], *t[1:]) for t in taken], columns=cols)
 
 
 def limits(ends: DataFrame) -> DataFrame:
-    """(source, unit, limit, slack, log_odds, ...) of each source whose lengths are censored.
+    """(source, unit, limit, slack, log_odds, ...) of each limit of each source whose lengths are censored.
 
     A text that was collected again counts once, else copies of a long text look like a limit.
     The histogram is aggregated first; a source's own is at most some ten thousand bins."""
     ends = ends.select("source", "chars", "bytes", "r", "t").distinct()
-    binned = lambda c: F.when(F.col(c) <= FINE, F.col(c)).otherwise(F.round(F.exp(F.round(F.log(c), 3))).cast("bigint"))
-    each = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), binned("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), binned("bytes").alias("length"))))
-    hist = ends.select("source", each.alias("_h")).groupBy("source", "_h.unit", "_h.length").agg(F.count("*").alias("n"))
-    schema = "source string, unit string, limit bigint, slack int, log_odds double, at_limit double, texts double, mu double, sigma double"
-    return hist.filter("source is not null").groupBy("source").applyInPandas(fit_source, schema)
+    each = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
+    exact = ends.filter("source is not null").select("source", each.alias("_h")).groupBy("source", "_h.unit", "_h.length").agg(F.count("*").alias("n"))
+    fine = (F.col("length") <= FINE) | (F.col("n") >= PEAK)
+    binned = F.when(fine, F.col("length")).otherwise(F.round(F.exp(F.round(F.log("length"), 3))).cast("bigint"))
+    hist = exact.withColumn("length", binned).groupBy("source", "unit", "length").agg(F.sum("n").alias("n"))
+    schema = "source string, unit string, limit bigint, slack int, log_odds double, at_limit double, texts double, mu double, sigma double, share double"
+    return hist.groupBy("source").applyInPandas(fit_source, schema)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -347,8 +365,11 @@ def judge(docs: DataFrame) -> DataFrame:
     sums = [F.max(F.when(F.col("level") == lv, F.coalesce(F.col(c), F.lit(0)))).alias(f"{x}{c[0]}") for lv, x in zip(LEVELS, "rkbct", strict=True) for c in ("whole", "goes_on")]
     e = ends.join(met.agg(*sums), "doc_id")
 
-    lim = limits(ends).select("source", "unit", "limit", "slack", F.col("log_odds").alias("limit_odds"))
-    e = e.join(lim, "source", "left")
+    # A row for each source that has limits; written, so that Spark knows its size when it chooses the join.
+    lim = stored(limits(ends).groupBy("source").agg(F.collect_list(F.struct("log_odds", "unit", "limit", "slack")).alias("limits")))
+    size = lambda l: F.when(l["unit"] == "bytes", F.col("bytes")).otherwise(F.col("chars"))
+    hit = F.filter("limits", lambda l: (size(l) <= l["limit"]) & (size(l) >= l["limit"] - l["slack"]))
+    e = e.join(lim, "source", "left").withColumn("limit_odds", F.array_max(F.transform(hit, lambda l: l["log_odds"]))).drop("limits")
     facts = Facts(units_, prefixes, unseen, unseen_pair, max(3.0, CLOSING * texts))
     return e.mapInPandas(lambda parts: (facts.decide(x) for x in parts), "doc_id bigint, source string, cut boolean, log_odds double, at_limit boolean, ending double")
 
@@ -391,9 +412,7 @@ class Facts:
         return np.where(x["broken"].to_numpy(bool), -8.0, out)
 
     def decide(self, x: pd.DataFrame) -> pd.DataFrame:
-        size = np.where(x["unit"] == "bytes", x["bytes"], x["chars"]).astype(float)
-        limit = x["limit"].to_numpy(float)
-        at_limit = (size <= limit) & (size >= limit - x["slack"].to_numpy(float))
+        at_limit = x["limit_odds"].notna().to_numpy()
         ending = self.ending(x, at_limit)
         odds = np.where(at_limit, x["limit_odds"].to_numpy(float) - np.clip(ending, -3, 3), PRIOR - ending)
         odds = odds + np.where(x["missing"] >= 10, 3.0, 0.0)

@@ -57,10 +57,36 @@ def test_censored_fit_finds_the_parameters():
     x = np.round(np.exp(rng.normal(6, 0.5, 20_000)))
     x = np.minimum(x, 500)
     length, n = np.unique(x, return_counts=True)
-    mu, sd, _ = T.fit(length, n.astype(float), 500)
+    mu, sd, *_ = T.fit(length, n.astype(float), 500)
     assert abs(mu - 6) < 0.03 and abs(sd - 0.5) < 0.03
 
 
+def histogram(x, source="s"):
+    import pandas as pd
+
+    length, n = np.unique(x, return_counts=True)
+    return pd.DataFrame({"source": source, "unit": "chars", "length": length.astype(int), "n": n})
+
+
+def test_longer_texts_hide_no_limit():
+    """Of a source with a limit, some later texts exceed it; a second limit came later."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.exp(rng.normal(6, 0.5, 2_400)))
+    mixed = np.concatenate([np.minimum(x[:2000], 500), x[2000:2060]])
+    assert T.fit_source(histogram(mixed))["limit"].tolist() == [500]
+    raised = np.concatenate([np.minimum(x[:1200], 400), np.minimum(x[1200:], 700)])
+    assert sorted(T.fit_source(histogram(raised))["limit"]) == [400, 700]
+    assert T.fit_source(histogram(x)).empty
+
+
+def test_limits_of_long_texts_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.minimum(np.round(np.exp(rng.normal(11, 0.4, 3_000))), 70_001).astype(int)
+    rows = [("s", int(n), int(n), i, i) for i, n in enumerate(x)]
+    got = T.limits(spark.createDataFrame(rows, "source string, chars bigint, bytes bigint, r bigint, t bigint")).collect()
+    assert {r["limit"] for r in got} == {70_001}
+
+
 def test_empty(spark):
     assert T.judge(spark.createDataFrame([], SCHEMA)).collect() == []
     assert T.rates(T.judge(spark.createDataFrame([], SCHEMA))).collect() == []
