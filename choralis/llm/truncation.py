@@ -46,6 +46,8 @@ OFTEN = 30
 PRIOR = math.log(0.15 / 0.85)
 #: Log-likelihood by which a limit must explain a source's lengths better than none does.
 CLEAR = 10.0
+#: The same for a limit that longer texts exceed: as it is picked out of all lengths, it needs more.
+CLEAR_EXCEEDED = 25.0
 #: A limit cuts at least this share of the texts that reach it.
 LEAST_SHARE = 0.05
 #: Lengths above this that fewer than PEAK texts have are binned by their logarithm, so a source's histogram stays small.
@@ -246,36 +248,41 @@ def _tail(x: float) -> float:
     return max(0.5 * math.erfc(x / math.sqrt(2)), 1e-300)
 
 
-def fit(length: np.ndarray, n: np.ndarray, limit: float | None, at: np.ndarray | None = None) -> tuple[float, float, float, float]:
-    """(mu, sigma, share, log-likelihood) of log-lengths by EM. at: which lengths are those of
-    texts censored at the limit, all that reach it if not given; share of those that reach it."""
+def fit(length: np.ndarray, n: np.ndarray, limits_: list[tuple[float, float]]) -> tuple[float, float, list[float], float]:
+    """(mu, sigma, shares, log-likelihood) of log-lengths by EM. limits_: (limit, slack); lengths
+    from limit - slack to limit are those of texts censored there. shares: of the texts that
+    reach each limit, the part that is cut there."""
     x = np.log(length)
-    if at is None:
-        at = length >= limit if limit else np.zeros(len(x), bool)
-    xf, nf, m = x[~at], n[~at], float(n[at].sum())
-    total = nf.sum() + m
+    at = np.zeros(len(x), bool)
+    cut: list[tuple[float, float, float, float]] = []
+    for limit, slack in limits_:
+        here = (length >= limit - slack) & (length <= limit) & ~at
+        at |= here
+        cut.append((math.log(limit), float(n[here].sum()), float(n[length > limit].sum()), 1 + slack))
+    xf, nf = x[~at], n[~at]
+    total = float(n.sum())
     if not nf.sum():
-        return float(np.log(limit or 1)), 1.0, 1.0, -math.inf
+        return float(x.mean()), 1.0, [1.0] * len(cut), -math.inf
     mu = float((n * x).sum() / n.sum())
     sd = max(0.05, math.sqrt(float((n * (x - mu) ** 2).sum() / n.sum())))
-    c = math.log(limit) if limit else 0.0
-    for _ in range(60 if m else 1):
-        ex = ex2 = 0.0
-        if m:
+    for _ in range(60 if cut else 1):
+        s1, s2 = float((nf * xf).sum()), float((nf * xf * xf).sum())
+        for c, m, _above, _wide in cut:
             z = (c - mu) / sd
             lam = float(_phi(np.array(z))) / _tail(z)
-            ex = mu + sd * lam
-            ex2 = mu * mu + sd * sd + sd * lam * (c + mu)
-        mu2 = ((nf * xf).sum() + m * ex) / total
-        var = ((nf * xf * xf).sum() + m * ex2) / total - mu2 * mu2
-        mu, sd = float(mu2), math.sqrt(max(float(var), 2.5e-3))
-    ll, share = float((nf * (-np.log(sd * math.sqrt(2 * math.pi)) - (xf - mu) ** 2 / (2 * sd * sd) - xf)).sum()), 1.0
-    if m:
-        above = float(n[~at & (length > limit)].sum())
-        share = m / (m + above)
-        ll += m * math.log(_tail((c - mu) / sd) * share)
-        ll += above * math.log(1 - share) if above else 0.0
-    return mu, sd, share, ll
+            s1 += m * (mu + sd * lam)
+            s2 += m * (mu * mu + sd * sd + sd * lam * (c + mu))
+        mu, before = s1 / total, mu
+        sd, was = math.sqrt(max(s2 / total - mu * mu, 2.5e-3)), sd
+        if abs(mu - before) + abs(sd - was) < 1e-9:
+            break
+    ll = float((nf * (-np.log(sd * math.sqrt(2 * math.pi)) - (xf - mu) ** 2 / (2 * sd * sd) - xf)).sum())
+    shares = []
+    for c, m, above, wide in cut:
+        shares.append(m / max(m + above, 1e-9))
+        ll += m * math.log(max(_tail((c - mu) / sd) * shares[-1] / wide, 1e-300))
+        ll += above * math.log(1 - shares[-1]) if above else 0.0
+    return mu, sd, shares, ll
 
 
 def candidates(length: np.ndarray, n: np.ndarray, slack: int) -> list[int]:
@@ -293,31 +300,38 @@ def candidates(length: np.ndarray, n: np.ndarray, slack: int) -> list[int]:
 
 
 def fit_source(h: pd.DataFrame) -> pd.DataFrame:
-    """The limits of one source, if it has any, from its histogram (unit, length, n)."""
-    tried = []
+    """The limits of one source, all in the unit that explains its lengths best, from its histogram (unit, length, n)."""
+    best: tuple[float, list[tuple]] = (0.0, [])
     for unit, g in h.groupby("unit"):
         g = g.groupby("length", as_index=False)["n"].sum().sort_values("length")
         length, n = g["length"].to_numpy(float), g["n"].to_numpy(float)
         # Bytes may end up to three short of the limit, where a character didn't fit.
-        slack = 3 if unit == "bytes" else 0
+        slack = 3.0 if unit == "bytes" else 0.0
         if len(length) < 5:
             continue
-        plain = fit(length, n, None)[-1]
-        for i in candidates(length, n, slack):
-            top = length[i]
-            at = (length >= top - slack) & (length <= top)
-            mu, sd, share, ll = fit(np.where(at, top, length), n, top, at)
-            if ll - plain > CLEAR:
-                z = (math.log(top) - mu) / sd
-                tail, density = _tail(z), float(_phi(np.array(z))) / (sd * top)
-                tried.append((ll - plain, unit, int(top), slack, math.log(share * tail / max(density * (1 + slack), 1e-300)), float(n[at].sum()), float(n.sum()), mu, sd, share))
-    taken: list[tuple] = []
-    for t in sorted(tried, reverse=True):
-        # What is near a better one is the same limit, seen in the other unit or through the slack.
-        if all(abs(t[2] - o[2]) > 3 for o in taken):
-            taken.append(t)
+        plain = now = fit(length, n, [])[-1]
+        open_, taken, fitted = [float(length[i]) for i in candidates(length, n, slack)], [], None
+        # One limit after the other, each against the model with those before it.
+        while open_:
+            tried = [(got[-1] - (CLEAR_EXCEEDED if c < length[-1] else CLEAR), c, got) for c in open_ if (got := fit(length, n, [*taken, (c, slack)]))]
+            gain, c, got = max(tried, key=lambda t: (t[0], t[1]))
+            if gain <= now:
+                break
+            taken.append((c, slack))
+            fitted, now = got, got[-1]
+            # What is near is the same limit, seen through the slack.
+            open_ = [x for x in open_ if abs(x - c) > 3]
+        if taken and now - plain > best[0]:
+            mu, sd, shares, _ = fitted
+            rows = []
+            for (c, _), share in zip(taken, shares, strict=True):
+                z = (math.log(c) - mu) / sd
+                density = float(_phi(np.array(z))) / (sd * c)
+                odds = math.log(share * _tail(z) / max(density * (1 + slack), 1e-300))
+                rows.append((unit, int(c), int(slack), odds, float(n[(length >= c - slack) & (length <= c)].sum()), float(n.sum()), mu, sd, share))
+            best = (now - plain, rows)
     cols = ["source", "unit", "limit", "slack", "log_odds", "at_limit", "texts", "mu", "sigma", "share"]
-    return pd.DataFrame([(h["source"].iloc[0], *t[1:]) for t in taken], columns=cols)
+    return pd.DataFrame([(h["source"].iloc[0], *r) for r in best[1]], columns=cols)
 
 
 def limits(ends: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_censored_fit_finds_the_parameters():
     x = np.round(np.exp(rng.normal(6, 0.5, 20_000)))
     x = np.minimum(x, 500)
     length, n = np.unique(x, return_counts=True)
-    mu, sd, *_ = T.fit(length, n.astype(float), 500)
+    mu, sd, *_ = T.fit(length, n.astype(float), [(500, 0)])
     assert abs(mu - 6) < 0.03 and abs(sd - 0.5) < 0.03
 
 
