@@ -291,8 +291,9 @@ def candidates(length: np.ndarray, n: np.ndarray, slack: int) -> list[int]:
     upto = lambda v: total[np.searchsorted(length, v, "right")]
     at = total[1:] - upto(length - slack - 1)
     width = np.maximum(10.0, np.floor(length * 0.02))
-    around = upto(length + width) - upto(length - slack - 1 - width) - at
-    expected = (around + 0.5) / (2 * width) * (1 + slack)
+    # On either side: where lengths thin out all at once, the last of them are no peak.
+    around = np.maximum(upto(length - slack - 1) - upto(length - slack - 1 - width), upto(length + width) - upto(length))
+    expected = (around + 0.5) / width * (1 + slack)
     clear = at * np.log(np.maximum(at, 1e-9) / expected) - (at - expected)
     share = at / (total[-1] - total[1:] + at)
     ok = (at >= PEAK) & (at > expected) & (clear > CLEAR) & (share >= LEAST_SHARE) | (np.arange(len(length)) == len(length) - 1) & (at >= PEAK)
