@@ -4,14 +4,16 @@
    Tokens that some inverse mapping turns into well-formed UTF-8 stay out of the
    counts, else frequent damage would teach the model that it is normal.
 2. Score each pair of a value by its pointwise mutual information. The damage
-   lies in the maximum-scoring segments of improbability.
+   lies in the maximum-scoring segments of improbability, of which a word may have several.
 3. Only in those runs try inverse mappings: the text as it came back to bytes by
    the encoding it was read with, and read again by the one it was written in.
    A mapping counts if the text it gives is far more probable under the same
    counts. Runs of a value vote together, as one mistake hurt them all.
 
-Pair counts go to a table of fixed size (2^22 cells a model), so what is sent to
-the executors doesn't grow with the corpus.
+Pairs are counted exactly, by Spark. The executors get the most frequent of them, at
+most MOST_PAIRS a model, as sorted arrays of numbers (16 bytes a pair, so 100 MB at most for the
+three models, in the driver and in each worker); rarer pairs are as pairs that were never seen.
+What is sent doesn't grow with the corpus, nor do counts of different pairs ever mix.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from choralis.llm.common import stored
 from choralis.llm.lookalike import PROTOTYPE, skeleton
 
-CELLS = 1 << 22
+#: Pairs of a model that the executors get.
+MOST_PAIRS = 1 << 21
 #: Probabilities are floored, so that what is rare isn't therefore improbable.
 CHAR_FLOOR, PAIR_FLOOR = 1e-3, 1e-8
 LOW, HIGH = -7.0, 5.0
@@ -123,8 +129,8 @@ def reversible(token: str) -> bool:
     return any(len(r) > 1 and next(utf8_inverses(r), None) is not None for r in NON_ASCII.findall(token)) or BROKEN.search(token) is not None
 
 
-def cell(a: str, b: str) -> int:
-    return ((ord(a) * 0x9E3779B1) ^ (ord(b) * 0x85EBCA77) >> 3) % CELLS
+def pair(a: str, b: str) -> int:
+    return ord(a) << 21 | ord(b)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +147,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             padded = f" {folded(t)} "
             for a, b in zip(padded, padded[1:], strict=False):
                 if a > "\x7f" or b > "\x7f":
-                    pairs[k][cell(a, b)] += n
+                    pairs[k][pair(a, b)] += n
             for ch in padded:
                 if ch > "\x7f":
                     chars[k][ch] += n
@@ -164,17 +170,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += [(k, 1, ord(c), n) for c, n in chars[k].items()]
         rows += [(k, 1, c, int(ascii_[k][c])) for c in range(128) if ascii_[k][c]]
     cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["model", "kind", "key", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["model", "kind", "key", "n"])
 
 
 class Pairs:
     """Counts of the corpus, one model for each kind of field; a pair's score is the best of the three."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int]]) -> None:
-        self.pairs = [{} for _ in FIELDS]
-        self.chars = [{} for _ in FIELDS]
-        for k, kind, key, n in rows:
-            (self.chars if kind else self.pairs)[k][key] = n
+    def __init__(self, model: np.ndarray, kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys, self.counts, self.chars = [], [], []
+        for k in range(len(FIELDS)):
+            mine = np.flatnonzero((model == k) & (kind == 0))
+            mine = mine[np.argsort(key[mine])]
+            self.keys.append(key[mine])
+            self.counts.append(n[mine])
+            own = (model == k) & (kind == 1)
+            self.chars.append(dict(zip(key[own].tolist(), n[own].tolist(), strict=True)))
         self.total = [max(1, sum(c.values())) for c in self.chars]
         self._ready()
 
@@ -192,10 +202,13 @@ class Pairs:
         key = a + b
         s = self.cache.get(key)
         if s is None:
-            c, best = cell(a, b), LOW
-            for pairs, chars, n in zip(self.pairs, self.chars, self.total, strict=True):
+            c, best = pair(a, b), LOW
+            for keys, counts, chars, n in zip(self.keys, self.counts, self.chars, self.total, strict=True):
+                i = int(np.searchsorted(keys, c))
+                if i == len(keys) or keys[i] != c:
+                    continue
                 # One occurrence is the value's own; it proves nothing.
-                p = max((pairs.get(c, 0) - 1) / n, PAIR_FLOOR)
+                p = max((int(counts[i]) - 1) / n, PAIR_FLOOR)
                 pa_, pb = (max(chars.get(ord(x), 0) / n, CHAR_FLOOR) for x in (a, b))
                 if p > PAIR_FLOOR:
                     best = max(best, log2(p / (pa_ * pb)))
@@ -225,17 +238,24 @@ def folded(token: str) -> str:
     return token
 
 
-def segment(scores: list[float]) -> tuple[int, int] | None:
-    """First and last pair of the maximum-scoring segment of improbability."""
-    best = run = 0.0
-    start, out = 0, None
+def segments(scores: list[float]) -> list[tuple[int, int]]:
+    """First and last pair of each maximal scoring segment of improbability, by the linear
+    algorithm of Ruzzo and Tompa: segments are disjoint, and none gets better by growing or shrinking."""
+    out: list[tuple[int, int, float, float]] = []
+    total = 0.0
     for i, s in enumerate(scores):
-        if run <= 0:
-            run, start = 0.0, i
-        run += IMPROBABLE - s
-        if run > best:
-            best, out = run, (start, i)
-    return out
+        before, total = total, total + IMPROBABLE - s
+        if total <= before:
+            continue
+        first, last, left, right = i, i, before, total
+        while True:
+            j = next((j for j in range(len(out) - 1, -1, -1) if out[j][2] < left), None)
+            if j is None or out[j][3] >= right:
+                out.append((first, last, left, right))
+                break
+            first, left = out[j][0], out[j][2]
+            del out[j:]
+    return [(a, b) for a, b, _, _ in out]
 
 
 def stretch(gains: list[float | None]) -> tuple[float, int, int]:
@@ -251,17 +271,19 @@ def stretch(gains: list[float | None]) -> tuple[float, int, int]:
     return best
 
 
-def _run(token: str, model: Pairs) -> tuple[int, int] | None:
-    """Characters of the improbable run, widened to whole stretches outside ASCII."""
-    seg = segment(model.scores(token))
-    if seg is None:
-        return None
-    lo, hi = max(0, seg[0] - 1), min(len(token), seg[1] + 1)
-    while lo > 0 and token[lo - 1] > "\x7f":
-        lo -= 1
-    while hi < len(token) and token[hi] > "\x7f":
-        hi += 1
-    return lo, hi
+def _runs(token: str, model: Pairs) -> list[tuple[int, int]]:
+    """Characters of each improbable run, widened to whole stretches outside ASCII."""
+    out: list[tuple[int, int]] = []
+    for first, last in segments(model.scores(token)):
+        lo, hi = max(0, first - 1), min(len(token), last + 1)
+        while lo > 0 and token[lo - 1] > "\x7f":
+            lo -= 1
+        while hi < len(token) and token[hi] > "\x7f":
+            hi += 1
+        if out and lo <= out[-1][1]:
+            lo, hi = out.pop()[0], hi
+        out.append((lo, hi))
+    return out
 
 
 def _look_alikes(run: str) -> bool:
@@ -278,47 +300,63 @@ def _mixed(s: str) -> bool:
     return len({m.lastindex for m in _SCRIPT.finditer(s)}) > 1
 
 
+#: What stands for a mapping where a run holds a sign of damage by itself.
+LOST = "lost"
+
+
 def inspect(token: str, model: Pairs) -> list[tuple[str, float, str]]:
     """(mapping, bits gained, text) of each inverse mapping of the token's improbable
-    run that makes it more probable; empty for a token without such a run."""
-    at = _run(token, model)
-    broken = BROKEN.search(token) is not None
-    if at is None and not broken:
+    runs that makes it more probable; empty for a token without such a run.
+
+    A mapping is tried in each run by itself, and in what lies between the first and the last."""
+    runs = _runs(token, model)
+    if not runs:
         return []
-    lo, hi = at or (0, len(token))
-    whole = [(lo, hi)] + ([(0, len(token))] if (lo, hi) != (0, len(token)) else [])
-    now, out = model.text(token), []
-    for lo, hi in whole:
-        run = token[lo:hi]
-        for name, u in utf8_inverses(run):
-            t = token[:lo] + u + token[hi:]
-            gain = model.text(t) - now
-            if gain > 0 or t.isascii() or len(run) - len(u) >= 2 and not _mixed(t) and gain > -6:
-                out.append((f"utf-8 as {name}", max(gain, 0) + 4 * (len(run) - len(u)), t))
-        if any(m.startswith("utf-8") for m, _, _ in out):
-            return out
-    lo, hi = whole[0]
-    run = token[lo:hi]
-    if _look_alikes(run):
-        return out
-    for name in READ_AS:
-        b = to_bytes(run, name)
-        if b is None or b.isascii():
-            continue
-        for real in WRITTEN_IN:
-            if real == name:
-                continue
-            u = from_bytes(b, real)
-            if u is None or u == run or u.isascii() or not u.isprintable():
-                continue
-            t = token[:lo] + u + token[hi:]
-            if _mixed(t):
-                continue
-            s = model.scores(t)
-            outside = [x for x in s if x]
-            if outside and sum(outside) / len(outside) >= IMPROBABLE:
-                out.append((f"{real} as {name}", sum(s) - now, t))
-    return out
+    now, best = model.text(token), {}
+
+    def note(name: str, gain: float, t: str) -> None:
+        if name not in best or gain > best[name][0]:
+            best[name] = (gain, t)
+
+    for spans in [runs] + ([[(runs[0][0], runs[-1][1])]] if len(runs) > 1 else []):
+        changed: dict[str, list[tuple[int, int, str]]] = {}
+        for lo, hi in spans:
+            for name, u in utf8_inverses(token[lo:hi]):
+                changed.setdefault(f"utf-8 as {name}", []).append((lo, hi, u))
+        for name, parts in changed.items():
+            t = _replaced(token, parts)
+            gain, shorter = model.text(t) - now, len(token) - len(t)
+            if gain > 0 or t.isascii() or shorter >= 2 and not _mixed(t) and gain > -6:
+                note(name, max(gain, 0) + 4 * shorter, t)
+    if not best:
+        for name in READ_AS:
+            changed = {}
+            for lo, hi in runs:
+                run = token[lo:hi]
+                b = None if _look_alikes(run) else to_bytes(run, name)
+                if b is None or b.isascii():
+                    continue
+                for real in WRITTEN_IN:
+                    u = from_bytes(b, real) if real != name else None
+                    if u is not None and u != run and not u.isascii() and u.isprintable():
+                        changed.setdefault(real, []).append((lo, hi, u))
+            for real, parts in changed.items():
+                t = _replaced(token, parts)
+                if _mixed(t):
+                    continue
+                s = model.scores(t)
+                outside = [x for x in s if x]
+                if outside and sum(outside) / len(outside) >= IMPROBABLE:
+                    note(f"{real} as {name}", sum(s) - now, t)
+    out = [(m, g, t) for m, (g, t) in best.items()]
+    # The replacement character and the C1 controls are in no pair of the counts, so they lie in a run.
+    return out + ([(LOST, 0.0, token)] if any(BROKEN.search(token[lo:hi]) for lo, hi in runs) else [])
+
+
+def _replaced(token: str, parts: list[tuple[int, int, str]]) -> str:
+    for lo, hi, u in reversed(parts):
+        token = token[:lo] + u + token[hi:]
+    return token
 
 
 class Doctor:
@@ -356,9 +394,10 @@ class Doctor:
                 elif (bits := self._stretch([t for t, _ in cands], m)[0]) >= GAIN_RUN:
                     gains[m] += bits
             found += [(t, c) for t, c in cands if c]
+        gains.pop(LOST, None)
         votes = [m for m, g in gains.items() if g >= (GAIN_UTF8 if m.startswith("utf-8") else GAIN)]
         if not votes:
-            return BROKEN.search(v) is not None, None, None
+            return any(m == LOST for _, c in found for m, _, _ in c), None, None
         order = sorted(votes, key=lambda m: (-gains[m], m))
         change = {}
         for t, cands in found:
@@ -398,10 +437,22 @@ class Doctor:
 
 def pair_model(values: DataFrame) -> Broadcast:
     """Counts over all values (field, id, value), at the executors."""
-    counts = values.filter("value is not null").mapInArrow(_count, "model int, kind int, key int, n bigint").groupBy("model", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = values.filter("value is not null").mapInArrow(_count, "model int, kind int, key bigint, n bigint").groupBy("model", "kind", "key").agg(F.sum("n").alias("n"))
     # A pair's own occurrence proves nothing, so pairs that occur once are as pairs that don't: they needn't come.
-    rows = counts.filter("kind = 1 or n > 1").collect()
-    return values.sparkSession.sparkContext.broadcast(Pairs([tuple(r) for r in rows]))
+    counts = stored(counts.filter("kind = 1 or n > 1"))
+    # By powers of two: the least count of which a model has no more than MOST_PAIRS pairs.
+    steps = counts.filter("kind = 0").groupBy("model", F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("pairs")).collect()
+    least = {}
+    for k in range(len(FIELDS)):
+        left = MOST_PAIRS
+        for r in sorted((r for r in steps if r["model"] == k), key=lambda r: -r["step"]):
+            left -= r["pairs"]
+            if left < 0:
+                least[k] = 2 << r["step"]
+                break
+    kept = reduce(or_, [(F.col("model") == k) & (F.col("n") >= least.get(k, 0)) for k in range(len(FIELDS))])
+    rows = counts.filter((F.col("kind") == 1) | kept).toArrow()
+    return values.sparkSession.sparkContext.broadcast(Pairs(*(rows[c].to_numpy() for c in ("model", "kind", "key", "n"))))
 
 
 def repair(values: DataFrame, model: Broadcast | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from choralis.llm import encoding as E
 
@@ -73,13 +75,44 @@ def test_lost_characters(doctor):
     assert doctor.value("Pit�zan")[:2] == (True, None)
 
 
-def test_segment_is_the_maximum():
-    s = [0.0, -5, 1, -6, 3, 4, -1]
-    lo, hi = E.segment(s)
+@given(st.lists(st.integers(-9, 5), max_size=24))
+@settings(max_examples=200, deadline=None)
+def test_segments_are_all_maximal_ones(s):
+    """By the definition: the best segment, then the best ones to its left and to its right."""
     w = [E.IMPROBABLE - x for x in s]
-    best = max(sum(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1))
-    assert sum(w[lo : hi + 1]) == best
-    assert E.segment([0.0, 1.0]) is None
+
+    def best(lo, hi):
+        found = [(sum(w[i:j]), -(j - i), -i, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        if not found or max(found)[0] <= 0:
+            return []
+        *_, i, j = max(found)
+        return best(lo, i) + [(i, j - 1)] + best(j, hi)
+
+    got = E.segments([float(x) for x in s])
+    want = best(0, len(s))
+    # Where segments tie, the split may differ; what they cover by score doesn't.
+    assert [sum(w[a : b + 1]) for a, b in got] == [sum(w[a : b + 1]) for a, b in want]
+
+
+def test_two_runs_of_a_word(doctor):
+    """Both damaged stretches of one token are found and restored."""
+    bad = "ü".encode().decode("cp1252")
+    word = f"s{bad}dliche-Br{bad}cke"
+    assert doctor.value(f"Wir {word} Stille")[:2] == (True, "Wir südliche-Brücke Stille")
+
+
+def test_rare_pairs_stay_behind(spark, monkeypatch):
+    """Above the bound, the most frequent pairs are kept, with exact counts."""
+    rows = [("name", i, "é" + chr(0x430 + k)) for k in range(12) for i in range(2 + (1 << k // 2))]
+    df = spark.createDataFrame(rows, "field string, id bigint, value string")
+    whole = E.pair_model(df).value
+    monkeypatch.setattr(E, "MOST_PAIRS", 8)
+    some = E.pair_model(df).value
+    assert len(some.keys[0]) <= 8 < len(whole.keys[0])
+    exact = dict(zip(whole.keys[0].tolist(), whole.counts[0].tolist(), strict=True))
+    kept = dict(zip(some.keys[0].tolist(), some.counts[0].tolist(), strict=True))
+    assert all(exact[k] == n for k, n in kept.items()) and min(kept.values()) > max(n for k, n in exact.items() if k not in kept)
+    assert exact[E.pair("é", chr(0x430))] == 3
 
 
 def test_table(spark):
