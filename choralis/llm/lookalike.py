@@ -6,9 +6,15 @@ same. The skeleton serves comparison; form() is the text to read: width and styl
 forms, ligatures, loose accents, spaces and invisible characters in their plain
 form, and letters of another alphabet within a word as those of the word's own.
 
+The look-alike table is Unicode's own list of confusables, as far as it names letters that
+look like Latin ones, with small capitals by their names, and with a few fixed entries that
+come first. Everyday Greek and Cyrillic letters are taken from the fixed entries only, as others
+of them look Latin in some typefaces at most.
+
 Whether letters stand for others is decided by the skeleton of each word: a word that its
 prototypes change is a case unless it is really of another script, by its own letters or,
-where all of them look Latin, by the words beside it.
+where all of them look Latin, by the words beside it. A value is a case if its form is
+another text of the same skeleton.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from choralis.llm import confusables
+
 # Letters of other alphabets that look like Latin ones, by Latin letter.
 LOOK_ALIKES = {
     "a": "аαɑ", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "f": "ẝ", "g": "ɡց", "h": "һհ", "i": "іιɩ", "j": "јϳ",
@@ -34,7 +42,23 @@ LOOK_ALIKES = {
 #: Signs that only make another look alike in a skeleton: quotes and dashes of one kind.
 SIGNS = {"'": "\u2018\u2019\u02bc\u201b`\u00b4", '"': "\u201c\u201d\u201e\u201f", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"}
 
-PROTOTYPE = {ord(x): a for a, xs in (LOOK_ALIKES | SIGNS).items() for x in xs}
+#: Greek and Cyrillic letters in everyday use.
+EVERYDAY = re.compile("[\u0370-\u03ff\u0400-\u045f]")
+
+
+def _listed() -> dict[str, str]:
+    """Letters that Unicode lists as look-alikes of a Latin letter, and small capitals, outside ordinary Latin text."""
+    small = confusables.small_capitals()
+    out = dict(small)
+    for ch, p in confusables.prototypes().items():
+        p = small.get(p, p)
+        letter = unicodedata.category(ch) in ("Lu", "Ll", "Lo") and unicodedata.normalize("NFKD", ch) == ch and not EVERYDAY.match(ch)
+        if letter and ch > "\u024f" and len(p) == 1 and p.isalpha() and p < "\u0100":
+            out.setdefault(ch, p)
+    return out
+
+
+PROTOTYPE = {ord(x): a for x, a in _listed().items()} | {ord(x): a for a, xs in (LOOK_ALIKES | SIGNS).items() for x in xs}
 
 _EMOJI = r"[\u00a9\u00ae\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff#*0-9\u20e3]"
 #: What joins or presents an emoji is part of it.
@@ -50,6 +74,8 @@ PLAIN = frozenset("ªº²³¹½¼¾™℠℡№℃℉㎏㎝")
 MARK = re.compile("[\u0300-\u036f\u3099\u309a\u1ab0-\u1aff\u1dc0-\u1dff]")
 WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _SCRIPTS = re.compile("(?P<L>[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff])|(?P<C>[\u0400-\u052f])|(?P<G>[\u0370-\u03ff\u1f00-\u1fff])|(?P<A>[\u0530-\u058f])|(?P<H>[\u13a0-\u13ff])")
+#: Those of alphabets that aren't told apart here.
+_REST = frozenset(chr(o) for o in PROTOTYPE if chr(o).isalpha() and not _SCRIPTS.match(chr(o)) and not unicodedata.name(chr(o), "").startswith("LATIN"))
 _EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
@@ -75,12 +101,12 @@ def skeleton(s: str) -> str:
 
 
 def _scripts(word: str) -> set[str]:
-    return {m.lastgroup for m in _SCRIPTS.finditer(word)}
+    return {m.lastgroup for m in _SCRIPTS.finditer(word)} | ({"R"} if not _REST.isdisjoint(word) else set())
 
 
 #: Look-alikes that are of no other alphabet: in a word they always stand for another letter.
-_ODD = re.compile("[" + "".join(x for xs in LOOK_ALIKES.values() for x in xs if _scripts(x) <= {"L"}) + "]")
-_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u13a0-\u13ff\u1f00-\u1fff]|" + _ODD.pattern)
+_ODD = re.compile("[" + "".join(chr(o) for o in PROTOTYPE if chr(o).isalpha() and _scripts(chr(o)) <= {"L"}) + "]")
+_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u13a0-\u13ff\u1f00-\u1fff" + "".join(sorted(_REST)) + "]|" + _ODD.pattern)
 _BREAK = re.compile(r"[\r\n\v\f]")
 
 
@@ -101,7 +127,7 @@ def foreign_words(s: str) -> list[re.Match]:
         if not w.isascii() and (len(sc) > 1 or _ODD.search(w)):
             out.append(m)
             sc = {"?"}
-        elif sc and sc <= {"C", "G", "A", "H"} and skeleton(w).isascii():
+        elif sc and sc <= {"C", "G", "A", "H", "R"} and skeleton(w).isascii():
             sc = {"~"}
             unsure.append((len(lines) - 1, len(lines[-1])))
         lines[-1].append((m, sc))
@@ -178,6 +204,17 @@ def form(s: str | None) -> str | None:
     return "".join(keep.get(c, c) for c in t)
 
 
+def other_characters(s: str | None) -> bool:
+    """Whether s looks like ordinary text but is made of other characters: its form is another
+    text of the same skeleton, or a word mixes alphabets and can't be brought to one."""
+    if not s or s.isascii():
+        return False
+    f = form(s)
+    if f == s:
+        return bool(foreign_words(JOINED.sub("", EMOJI.sub("", s))))
+    return skeleton(f) == skeleton(s)
+
+
 def forms(values: DataFrame) -> DataFrame:
     """(field, id, value) as (field, id, form, skeleton, kinds): every value in one form.
 
@@ -220,7 +257,7 @@ def found(values: DataFrame, hurt=None) -> DataFrame:
             rows = [
                 (f, i)
                 for f, i, v in zip(*(b.column(c).to_pylist() for c in ("field", "id", "value")), strict=True)
-                if v and not v.isascii() and standing_in(v) and not is_hurt(v)
+                if v and not v.isascii() and other_characters(v) and not is_hurt(v)
             ]
             cols = list(zip(*rows, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["field", "id"])

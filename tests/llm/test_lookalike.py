@@ -73,6 +73,25 @@ def test_real_words_of_look_alikes(s):
     assert K.standing_in(s) == [] and K.form(s) == s
 
 
+@pytest.mark.parametrize("s,want", [("\u1d18aypal", "paypal"), ("paypa\ua4f2", "paypal"), ("\u0251pple", "apple"), ("\ua7b5eta", "\u00dfeta"), ("pa\u13e2er", "paPer"), ("\u2c9fpen", "open")])
+def test_letters_that_unicode_lists(s, want):
+    assert K.other_characters(s) and K.standing_in(s) == ["alphabet"]
+    assert K.skeleton(s) == K.skeleton(want)
+
+
+@pytest.mark.parametrize("s", list(CASES))
+def test_a_case_is_another_text_of_the_same_skeleton(s):
+    assert K.other_characters(s) and K.form(s) != s and K.skeleton(K.form(s)) == K.skeleton(s)
+
+
+def test_table_of_unicode():
+    from choralis.llm import confusables
+
+    t = confusables.prototypes()
+    assert len(t) > 5000 and t["\u0430"] == "a" and t["\ua4f2"] == "l"
+    assert all(K.PROTOTYPE[ord(x)] == a for a, xs in K.LOOK_ALIKES.items() for x in xs)
+
+
 def test_table(spark):
     rows = [("name", 1, "Thе cat"), ("name", 1, "Thе cat"), ("name", 2, "The cat"), ("name", 3, None), ("name", 4, ""), ("name", 5, "ａ" * 100_000)]
     df = spark.createDataFrame(rows, "field string, id bigint, value string")
