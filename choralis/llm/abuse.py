@@ -8,7 +8,9 @@ edit costs one, counts half, and not at all for words that are common in the cor
 
 Terms have weights, and a place counts only by what stands in its window: a term
 that has a harmless sense needs an address, an insult's adjective or another term
-beside it. Within quotation marks, beside a verb of saying, terms weigh less.
+beside it. A verb of violence counts only with whom it is aimed at near it: a part of another's
+body, a person as its object, or a group of people. A term that is only mentioned (in quotation
+marks beside a verb of saying, or named as a word) weighs less.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,41 +26,53 @@ from pyspark.sql import functions as F
 
 from choralis.llm.lookalike import skeleton
 
-# The lexicon, as weight and kind, then terms of one meaning. Kinds: insult,
-# sexual, threat, harm (what a threat does), group, animal (what a group is called), address,
-# adjective. Terms of several words are matched in order with up to two words between.
+# The lexicon, as weight and kind, then terms of one meaning, of everyday abuse in
+# seven languages and some of others. Kinds: insult, sexual, wish (somebody's death), stalk,
+# threat (verbs of violence), harm (what they are aimed at), group, animal (what a group is
+# called), deny (what a group is denied), address, adjective. Terms of several words are matched in order with up to two words
+# between; a|b stands for either word.
 LEXICON = """
-1.0 insult: bitch bitches cunt cunts slut sluts whore whores motherfucker motherfuckers scumbag scumbags asshole assholes dickhead wanker faggot faggots nigger niggers kike spic tranny retard cocksucker dumbass fuckface shithead douchebag
-1.0 insult: salope salopes connasse connard connards enculé pouffiasse pétasse enfoiré crevure raclure fils-de-pute sous-merde
-1.0 insult: schlampe hurensohn fotze missgeburt drecksau wichser arschloch nutte nutten miststück drecksack dreckstück abschaum hurenbock
-1.0 insult: puttana puttane stronzo stronza troietta zoccola vaffanculo bastardo bastarda merdaccia testa-di-cazzo
-1.0 insult: hijo-de-puta hija-de-puta gilipollas cabrón cabrones pendejo malparido ramera furcia maricón malnacido hijueputa
-1.0 insult: filho-da-puta filha-da-puta vadia vadias arrombado cabrão rameira desgraçado desgraçada otário-de-merda
-1.0 insult: сука суки шлюха шлюхи мразь ублюдок ублюдки пидор пидорас блядь мудак выродок гнида падла чмо стерва
-1.0 insult: kurwa kurwo suko szmata szmato skurwysyn dziwka dziwko śmieciu hoer slet kutwijf klootzak hora fitta jävla-hora πουτάνα μαλάκα くたばれ 死ねよ
-0.8 insult: bastard bastards тварь скотина урод bâtard bâtarde puta putas puto pute putes hure huren troia escoria ordure vagabunda merda-de-gente mongrel
-0.6 insult: parasite filthy-pig piece-of-shit zorra perra verpiss verpisse dummkopf idiota idiotas imbécile mistkerl
-0.5 insult: cow pig dog schwein maiale cerda porco cochon cagna cadela chienne свинья hoe dyke prick twat tramp skank shut-your-mouth halt-dein-maul ferme-ta-gueule stai-zitta cállate cala-a-boca заткнись
-0.6 sexual: fuck fucks fucked fucking fucker foder foda enculer ficken fick fickt scopare follar хуй ебать ебал pierdol jebać knulla neuken
-0.6 sexual: pussy blowjob handjob cum-on jerk-off cazzo polla schwanz chatte figa buceta coño
-0.5 sexual: dick cock tit tits boobs bite pau pica член suck-my lick-my suce-ma lutsch-meinen lutsch chúpame chupa succhiami соси get-on-your-knees swallow-my bend-over
-0.4 sexual: wet hole-to-use a-hole-to-use raw naked horny spread-your-legs throw-away
-0.5 sexual: shit shits merde mierda merda scheiße scheisse piss crap gówno дерьмо
-0.6 threat: hope-you-choke hope-you-die dropped-dead drop-dead go-and-drown never-have-been-born deserve-to-breathe deserve-to-die deserve-to-live breed-like-rats kill-yourself ojalá-te-mueras morre-logo crève crevez crèvent krepier krepiere сдохни sterven-zult
-0.6 threat: find-out-where-you-sleep where-you-sleep je-sais-où-tu-dors sé-dónde-duermes wo-du-schläfst so-dove-dormi sei-onde-você-dorme знаю-где-ты-спишь
-0.6 threat: mach-dich-kalt ti-ammazzo te-voy-a-matar vou-te-matar je-vais-te-tuer убью-тебя zabiję-cię totgeschlagen los-maten-a-todos morrer-todos bruciati-tutti надо-давить werft-sie werft-alle-raus throw-them-all
-0.6 threat: schlag-dir schlage-dir casser-la-gueule romper-la-cara spacco-la-faccia quebrar-a-tua-cara quebrar-a-cara разобью die-fresse ne-te-pleurera nobody-would-cry никто-не-заплачет
-0.5 threat: kill cut slit smash break stab strangle shoot beat burn hunt hang choke drown rape matar tuer töten ammazzare убить
-0.3 harm: throat neck teeth skull face yourself houses alive gueule cara faccia fresse морду горло
-0.5 group: immigrants foreigners refugees outsiders nonbelievers unbelievers infidels cripples beggars jews muslims gypsies blacks gays your-kind those-people these-people migrants ausländer flüchtlinge étrangers extranjeros inmigrantes stranieri immigrati imigrantes estrangeiros
-0.5 group: esa-gente ces-gens quella-gente essa-gente dieses-pack solche-wie-euch solche-wie-ihr эти-твари
-0.6 animal: vermin parasites subhuman subhumans savages vermine ungeziefer feccia basura lixo cockroaches твари не-люди
-0.4 animal: rats animals animal pests scum dirt filth trash
-0.4 adjective: worthless pathetic filthy disgusting brainless useless inútil inutile inutiles asqueroso asquerosa dégueulasse dreckig dreckige dreckiger wertlos wertlose wertloses schifosa schifoso imunda imundo nojenta nojento тупая тупой грязный грязная verdammte
-0.3 adjective: rotten lousy stupid ugly fat dumb sale simply-a просто dumme dummes ne-vaux-rien no-vales-nada inutil gonna
-0.3 address: you your you're youre yourself u ur tu te ti ta toi tes ton t' eres tus du dich dir dein deine deinen euch tua tuo sei sua seu você ты тебе тебя твой твою твоя tobie ciebie twoja jij jou din dig
-0.2 address: their them they she's he's she's-just
+1.0 insult: bitch bitches cunt cunts slut sluts whore whores motherfucker motherfuckers scumbag scumbags asshole assholes arsehole dickhead dipshit wanker wankers bellend faggot faggots fag nigger niggers kike spic gook chink paki wetback raghead towelhead tranny retard retards cocksucker cocksuckers dumbass jackass fuckface fuckwit shithead shitbag douchebag douche twat twats skank
+1.0 insult: salope salopes salaud connasse connard connards enculé enculée pouffiasse pétasse putain-de-merde enfoiré enfoirée crevure raclure fils|fille-de-pute|putain|chien sous-merde bougnoule pédé tapette nique-ta|sa-mère|race
+1.0 insult: schlampe schlampen hurensohn hurensöhne fotze fotzen missgeburt drecksau wichser arschloch arschlöcher nutte nutten miststück drecksack dreckstück abschaum hurenbock hurenkind spasti kanake schwuchtel fick-deine|dich-mutter
+1.0 insult: puttana puttane stronzo stronza stronzi troietta zoccola vaffanculo bastardo bastarda bastardi merdaccia testa-di-cazzo|merda figlio|figlia-di-puttana|troia frocio ricchione negraccio coglione coglioni
+1.0 insult: hijo|hija-de-puta|perra gilipollas cabrón cabrona cabrones pendejo pendeja malparido malparida ramera furcia maricón maricones malnacido malnacida hijueputa zorrón sudaca mamahuevo
+1.0 insult: filho|filha-da-puta vadia vadias arrombado arrombada cabrão rameira desgraçado desgraçada cuzão viado viadinho
+1.0 insult: сука суки сучка шлюха шлюхи мразь мрази ублюдок ублюдки пидор пидорас пидоры блядь бляди мудак мудаки выродок выродки гнида гниды падла чмо стерва хуесос долбоёб жид чурка хач
+1.0 insult: kurwa kurwo kurwy suko szmata szmato skurwysyn skurwiel dziwka dziwko śmieciu pedał hoer hoeren slet kutwijf klootzak kankerhoer mongool hora horor fitta jävla-hora bögjävel πουτάνα μαλάκα αρχίδι くたばれ 死ねよ
+0.8 insult: bastard bastards тварь твари скотина урод уроды bâtard bâtarde puta putas puto putos pute putes hure huren troia troie escoria ordure ordures vagabunda vagabundo merda-de-gente mongrel mongrels seu|sua-merda piece|sack-of-shit|crap|filth pezzo|pedaço-di|de-merda pedazo-de-mierda stück-scheiße|dreck
+0.6 insult: parasite bloodsucker zorra zorras perra perras verpiss verpisse dummkopf idiot idiots idiota idiotas imbecile imbécile imbécil imbecille mistkerl moron morons loser losers scum trash filth degenerate freak hag tramp hoe hoes dyke dykes prick pricks tosser minger crétin abruti debile trottel depp cretino deficiente deficiente tarado estúpida besta дура дурак дебил кретин
+0.5 insult: shut-your|the-mouth|trap|face halt|halts-dein|die|deine-maul|fresse|klappe ferme|fermez-ta|la|votre-gueule stai-zitta|zitto chiudi-la|quella-bocca|fogna cállate cierra-la|el-boca|pico cala-a-boca заткнись заткни-пасть|рот zamknij-się|mordę hou-je-bek|kop
+0.3 insult: cow pig swine dog sow schwein maiale cerda cerdo porco porca cochon truie chienne chien cagna cane cadela cachorra свинья собака корова hündin kuh esel ziege worm rat snake
+0.6 sexual: fuck fucks fucked fucking fucker foder foda fode enculer baiser ficken fick fickt gefickt scopare fottere fottiti follar chingar jodete хуй хуя ебать ебал ёбаный ебаный pierdol pierdolić jebać jebany knulla neuken
+0.7 sexual: pussy blowjob handjob cumshot cum jizz boner cazzo polla verga schwanz pimmel muschi chatte moule figa fica buceta boceta xoxota caralho piroca coño concha deepthroat gangbang пизда залупа cipa chuj kut pik lul kuk
+0.5 sexual: dick dicks cock cocks tit tits titties boobs bite pau rola pinto член сиськи titten möpse nichons tette tetas peitos suck|lick|ride|swallow-my|his|this suce|sucer|suce-moi|ma|mon lutsch|leck|blas-meinen|meine|mir chupa|chúpame|chúpamela|mámame succhiami succhia соси отсоси zrób-loda bend-over spread-your-legs jerk|jack|wank-off|me cum-on|in get-off-on
+0.3 sexual: wet raw naked horny hard hole holes ass butt arse thighs moan on|your-knees arsch cul culo bunda rabo жопа dupa kont
+0.5 sexual: shit shits shitty merde mierda merda scheiße scheisse scheiß piss crap gówno дерьмо говно strunt skit
+0.7 wish: hope|wish|pray-you|they-die|dies|choke|rot|burn|drown|suffer|bleed|hang drop|dropped|dropping-dead kill|hang|drown|shoot|stab|neck-yourself|yourselves go-die|rot|drown|hang rot|burn-in-hell should|better-be|have-dead wish-you|they-were|was-dead
+0.7 wish: ojalá-te|os|se-mueras|muráis|mueran|pudras muérete púdrete que-te|les|os-mueras|maten|mate|pudras morre|morra-logo|já|desgraça crève crevez crèvent crepa crepate muori|morite-male|tutti krepier krepiere krepiert verrecke verreckt сдохни сдохните подохни zdychaj zdechnij sterf dö-ditt tue-toi suicide-toi
+0.5 stalk: where-you|they-live|sleep|lives|stay|hide où-tu|vous-dors|habites|vis|dormez|habitez dónde-vives|duermes|viven wo-du|ihr-wohnst|schläfst|wohnt|pennst dove-dormi|abiti|vivi onde-você|tu-mora|dorme|moras|dormes|vive где-ты-спишь|живёшь|живешь gdzie-mieszkasz|śpisz waar-je-woont|slaapt
+0.6 threat: kill cut slit smash break stab strangle shoot beat burn hunt hang choke drown rape snap crush bash slice gut punch kick bury murder lynch gas skin crack
+0.6 threat: matar tuer buter crever casser péter défoncer éclater égorger töten umbringen abstechen schlag schlage schlagen brech breche hau haue zertrümmern totschlagen ammazzare ammazzo ammazzerò uccidere spacco spaccare rompo romper parto partir rompere degollar quebrar quebro arrebentar estrangular убью убить разобью сломаю зарежу порву задушу zabiję zabić połamię rozwalę doodmaken vermoorden döda
+0.5 harm: throat throats neck necks teeth skull skulls face faces jaw ribs bones kneecaps nose guts brains head fingers legs house houses home homes alive gueule cara caras faccia fresse kiefer zähne knochen hals schädel morro denti ossa collo gola gola huesos dientes cuello pescuezo dents os gorge dentes ossos pescoço garganta морду горло шею зубы кости челюсть рыло mordę zęby gardło
+0.6 wish: kalt-mach|mache mach|mache|machen-dich|euch-kalt|fertig totgeschlagen vergast|vergasen aufhängen|aufgehängt надо|нужно|пора-давить|вешать|стрелять|резать bruciati|ammazzati-tutti morrer|morram-todos brûlez|pendez-les
+0.5 group: immigrants immigrant foreigners foreigner refugees refugee outsiders nonbelievers unbelievers infidels heathens cripples beggars jews jew muslims muslim arabs gypsies gypsy blacks whites gays lesbians homos queers trans migrants migrant peasants homeless disabled asylum-seekers your|their-kind|sort|race those|these-people|folk|folks
+0.5 group: ausländer flüchtlinge zigeuner juden muslime asylanten behinderte solche|leute-wie-euch|ihr|dich|die dieses|dies-pack|gesindel étrangers réfugiés immigrés juifs arabes musulmans noirs ces|cette-gens|race extranjeros inmigrantes refugiados gitanos judíos moros esa|esta-gente|raza stranieri immigrati profughi zingari ebrei negri quella|questa-gente|razza imigrantes estrangeiros ciganos judeus essa|esta-gente|raça мигранты беженцы евреи цыгане эти|такие-люди|твари|как-вы cudzoziemcy uchodźcy żydzi cyganie buitenlanders vluchtelingen
+0.6 animal: vermin parasites subhuman subhumans savages vermine racaille ungeziefer untermenschen gesocks pack feccia parassiti parásitos parasitas basura escória lixo cockroaches maggots leeches bloodsuckers pestilence не-люди|человеки недочеловеки мусор паразиты отребье robactwo ongedierte uitschot ohyra
+0.4 animal: rats animals animal pests pigs dogs swine dirt filth apes monkeys scum tiere ratten schweine animaux bestie animali topi animales ratas bichos животные скот крысы breed|multiply-like-rats|rabbits|flies
+0.5 deny: deserve|deserves-to-live|breathe|exist|be never|not-have|be-been-born belong-in|at-camps|bottom|hell|zoo should-be-shot|hanged|deported|gassed|exterminated|wiped wipe|throw|drive|kick|burn-them|em-out|all|down werft|jagt|schmeißt-sie|alle-raus
+0.4 adjective: worthless pathetic filthy disgusting brainless useless vile repulsive revolting miserable spineless inútil inutile inutiles inutili asquerosa asqueroso asquerosos dégueulasse dégueulasses dreckig dreckige dreckiger dreckiges wertlos wertlose wertloser wertloses widerlich widerliche schifosa schifoso schifosi lurida imunda imundo nojenta nojento тупая тупой тупые тупое грязный грязная грязное вонючий вонючая поганый verdammte verdammter jävla smerige vieze brudna głupia tępa
+0.3 adjective: rotten lousy stupid ugly fat dumb nasty sick sale sales dumme dummes dummer blöde hässliche dreckige laid laide moche fea feo gorda gordo brutta brutto feia gorda burra ne-vaux|vaut-rien no-vales|vale-nada non-vali-niente nichts-wert
+0.3 address: you your you're youre yourself u ur tu te ti t' ta toi tes ton vous votre eres tus tú os du dich dir dein deine deinen deiner deinem euch ihr tua tuo tue sei voi sua seu teu você ты тебе тебя тобой вы вам вас твой твою твоя твои ваш tobie ciebie twoja ci cię wy je jij jou jouw din dig ditt er
+0.2 address: their them they she's he's they're sie gli lui lei ella él elle les eux их им они она он
 """
+#: Who isn't threatened: what stands before a part of the body that is the singer's own.
+OWN = frozenset("my mine our mein meine meinen meinem meiner unser mon ma mes notre mi mis nuestro mio mia miei meu minha nosso мой моя моё мою мои moja mój mijn min".split())
+#: Objects of a verb of violence, behind it and before it.
+BEHIND = frozenset("you u them em ya yourself toi vous te ti os dich euch sie тебя вас их cię".split())
+BEFORE = frozenset("te t' ti vous os vi dich euch dir тебя тебе вас их cię ciebie".split())
+#: What names a word as a word, so that the term behind it is mentioned.
+MENTION = frozenset("word words term terms name slur slurs insult mot mots terme wort worte wörter begriff palabra palabras término parola parole palavra palavras слово слова słowo woord ord".split())
 #: Letters, digits and signs that are put for a letter.
 DISGUISES = {"a": "4@", "b": "8", "c": "¢(k", "e": "3€", "f": "", "g": "96", "i": "1!|y", "k": "c", "l": "1|", "o": "0", "q": "", "s": "5$z", "t": "7+", "u": "v", "v": "u", "z": "2s"}
 ANY = "*#_?%•"
@@ -70,6 +85,8 @@ DISGUISED = 0.25
 #: Distances that words of up to 4, up to 7, and more letters may have from a term.
 BUDGET_SHORT, BUDGET, BUDGET_LONG = 0.99, 1.0, 1.5
 WINDOW = 14
+#: Words between a verb of violence and its target: a part of the body, a group.
+NEAR_HARM, NEAR_GROUP = 4, 7
 THRESHOLD = 1.0
 QUOTED = 0.4
 
@@ -85,6 +102,10 @@ SAYING = re.compile(r"\b(said|says|say|wrote|writes|called|calls|quoted?|word|wo
 QUOTES = re.compile(r"[\"“„«]([^\"“”„«»]{1,200})[\"”“»]")
 
 
+#: Kinds that only count beside a term of another kind.
+COMPANY = frozenset(("address", "adjective", "harm", "deny", "stalk"))
+
+
 class Lexicon:
     """Trie of words and table of word sequences."""
 
@@ -98,14 +119,15 @@ class Lexicon:
             head, _, terms = line.partition(": ")
             weight, kind = head.split()
             for t in terms.split():
-                ws = tuple(plain(x) for x in t.split("-"))
-                if len(ws) == 1:
-                    self.words.setdefault(ws[0], (kind, float(weight)))
-                else:
-                    self.phrases.setdefault(ws[0], []).append((ws, kind, float(weight)))
-                    parts.update(ws)
+                for each in product(*[part.split("|") for part in t.split("-")]):
+                    ws = tuple(plain(x) for x in each)
+                    if len(ws) == 1:
+                        self.words.setdefault(ws[0], (kind, float(weight)))
+                    else:
+                        self.phrases.setdefault(ws[0], []).append((ws, kind, float(weight)))
+                        parts.update(ws)
         for w, (kind, _) in self.words.items():
-            if kind not in ("address", "adjective", "harm", "group") and len(w) > 2:
+            if kind not in COMPANY and kind not in ("group", "threat") and len(w) > 2:
                 self._add(w)
         self.parts = parts
         # Words one edit apart share a word that lacks a letter of either.
@@ -229,7 +251,7 @@ class Scorer:
             if len(self.flags) > 300_000:
                 self.flags.clear()
             w, kind, _, _ = self.word(raw)
-            got = self.flags[raw] = kind not in (None, "address", "adjective", "harm") or w in self.lex.cues or w in self.lex.heads
+            got = self.flags[raw] = kind is not None and kind not in COMPANY or w in self.lex.cues or w in self.lex.heads
         return got
 
     def word(self, raw: str) -> tuple[str, str | None, float, float]:
@@ -264,19 +286,21 @@ class Scorer:
         toks = [self.word(t) for t in TOKEN.findall(s)]
         raws = None
         hits: list[tuple[int, str, str, float]] = []
-        seen_kind = False
         for i, (w, kind, weight, _) in enumerate(toks):
-            if kind is not None:
+            if kind == "threat":
+                if aim := self._aim(toks, i):
+                    hits.append((i, w, kind, weight))
+                    hits += aim
+            elif kind is not None and kind != "harm":
                 hits.append((i, w, kind, weight))
-                seen_kind = seen_kind or kind not in ("address", "adjective", "harm")
             elif w in self.lex.heads and i + 1 < len(toks) and (w, toks[i + 1][0]) in self.lex.halves:
                 both = w + toks[i + 1][0]
                 hits.append((i, both, *self.lex.words[both]))
-                seen_kind = True
             for ws, k, wt in self.lex.phrases.get(w, ()):
                 if self._follows(toks, i, ws):
                     hits.append((i, "-".join(ws), k, wt))
-                    seen_kind = True
+        hits = [(i, w, k, wt * QUOTED if i and k not in COMPANY and not MENTION.isdisjoint(x for x, *_ in toks[max(0, i - 2) : i]) else wt) for i, w, k, wt in sorted(hits)]
+        seen_kind = any(k not in COMPANY for _, _, k, _ in hits)
         if not seen_kind:
             return 0.0, ""
         quoted = self._quoted(s)
@@ -296,6 +320,20 @@ class Scorer:
                 best, names = score, " ".join(sorted(w for w, (k, _) in inside.items() if k != "address"))
         return best, names
 
+    @staticmethod
+    def _aim(toks: list, i: int) -> list[tuple[int, str, str, float]]:
+        """What a verb of violence is aimed at: hits for a part of another's body, a person that
+        is its object, or a group near it; none if it is aimed at nothing of these."""
+        out = []
+        for j in range(max(0, i - NEAR_HARM), min(len(toks), i + NEAR_HARM + 1)):
+            w, kind, weight, d = toks[j]
+            if kind == "harm" and d == 0 and not any(toks[k][0] in OWN for k in range(max(0, j - 2), j)):
+                out.append((j, w, "harm", weight))
+        if any(toks[j][0] in BEHIND for j in range(i + 1, min(len(toks), i + 2))) or any(toks[j][0] in BEFORE for j in range(max(0, i - 3), i)):
+            out.append((i, "object", "address", 0.3))
+        out += [(j, toks[j][0], "group", toks[j][2]) for j in range(i + 1, min(len(toks), i + NEAR_GROUP + 1)) if toks[j][1] == "group"]
+        return out
+
     def _spelled(self, m: re.Match) -> str:
         """Letters apart as the word they spell, if that is a term or starts one."""
         joined = re.sub(r"[ .\-_]", "", m[1])
@@ -337,23 +375,20 @@ class Scorer:
 
 def combine(terms) -> float:
     """Weights by kind: of one kind, the best in full and the rest by half. What only
-    goes with a term (address, adjective, harm) counts once each and only beside one."""
+    goes with a term counts once each and only beside one. A group or an animal alone is ordinary
+    language, whoever is addressed, and so is a verb of violence with a person as its object."""
     by: dict[str, list[float]] = {}
     for k, w in terms:
         by.setdefault(k, []).append(w)
-    core = [k for k in by if k not in ("address", "adjective", "harm")]
+    core = [k for k in by if k not in COMPANY]
     if not core:
         return 0.0
     total = 0.0
     for k, ws in by.items():
         ws.sort(reverse=True)
         total += ws[0] + (sum(ws[1:]) / 2 if k in core else 0.0)
-    # A group, a threat's verb or an animal alone is ordinary language, whoever is addressed.
-    if core == ["threat"] and max(by["threat"]) <= 0.5 and len(by["threat"]) == 1 and "harm" not in by:
-        total = min(total, 0.9)
-    if core in (["group"], ["animal"]):
-        total = min(total, 0.9)
-    return total
+    alone = core == ["group"] and "deny" not in by or core == ["animal"] or core == ["threat"] and "harm" not in by and "stalk" not in by
+    return min(total, 0.9) if alone else total
 
 
 def fuzzy(lex: Lexicon, w: str) -> tuple[str, float] | None:
