@@ -81,6 +81,8 @@ def _single(name: str) -> dict[int, int]:
 
 
 _BYTES = {n: _single(n) for n in READ_AS}
+#: Encodings that read the byte A0 as a no-break space.
+SPACED = frozenset(n for n, table in _BYTES.items() if table.get(0xA0) == 0xA0)
 
 
 def to_bytes(s: str, name: str) -> bytes | None:
@@ -116,7 +118,10 @@ def utf8_inverses(s: str) -> Iterator[tuple[str, str]]:
         t, last = s, None
         for _ in range(3):
             b = to_bytes(t, name)
-            u = b and (from_bytes(b, "utf-8") or from_bytes(b + b"\xa0", "utf-8"))
+            u = b and from_bytes(b, "utf-8")
+            if b and not u and name in SPACED:
+                # The last byte was read as a no-break space, and went with blanks.
+                u = from_bytes(b + b"\xa0", "utf-8")
             if not u or u == t or len(u) >= len(t) + 1 or u.isascii() and not t.isascii() and len(u) > 1 and not b.isascii():
                 break
             t = last = u

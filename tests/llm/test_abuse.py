@@ -118,12 +118,12 @@ def test_quotation_weighs_less(scorer):
 
 def test_automaton_is_the_distance_within_the_budget():
     """The walk of trie and automaton finds what comparing with every term finds."""
-    from choralis.llm.metric import swapped
+    from choralis.llm.metric import metric
 
     lex = A.Lexicon()
     terms = [w for w in lex._terms if w.isalpha() and w.isascii()]
     for w in ("bicth", "whoore", "sluts", "scumbg", "bastadr", "wanker", "tree"):
-        near = {t for t in terms if swapped(w, t) <= 1}
+        near = {t for t in terms if metric(w, t) <= 1}
         got = lex.match(w, 1.0)
         assert (got is not None) == bool(near) or got[1] < 1, w
         if got and near:

@@ -45,7 +45,7 @@ def test_restores_single_bytes(doctor, lang, read, written):
     assert doctor.value(hurt)[:2] == (True, CLEAN[lang])
 
 
-@pytest.mark.parametrize("s", [*CLEAN.values(), *(x.upper() for x in CLEAN.values()), "plain", "", "Thе сarlеt gambler", "Ｗｉｄｅ", "a b", "👩‍🎤"])
+@pytest.mark.parametrize("s", [*CLEAN.values(), *(x.upper() for x in CLEAN.values()), "plain", "", "drifting – ember", "a – b — c “d” … • e", "Thе сarlеt gambler", "Ｗｉｄｅ", "a b", "👩‍🎤"])
 def test_leaves_the_rest(doctor, s):
     assert not doctor.value(s)[0]
 
