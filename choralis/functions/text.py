@@ -124,3 +124,8 @@ def classify_record(ncols: Column, tag: Column) -> Column:
         .when(tag.isin(0, 8, 9), F.lit("lyrics"))
         .otherwise(F.lit("error"))
     )
+
+
+def url_encode(c: Column) -> Column:
+    """A value as it stands in a query string: form encoding, blanks as '+'."""
+    return F.url_encode(c)

@@ -73,6 +73,14 @@ def build_catalog(tracks: DataFrame, lyrics: DataFrame) -> DataFrame:
     return finish(t.join(l, t.last_lyrics_id == l.lyrics_id, "left"))
 
 
+def names_only(tracks: DataFrame) -> DataFrame:
+    """The catalogue without texts but with the key of each row's lyrics: for lookups that choose
+    rows by names and then fetch the texts of the chosen ones."""
+    t = dedup_ids(project_tracks(tracks))
+    lower = {f"{a}Lower": X.normalize(F.col(f"{b}Name")) for a, b in (("name", "track"), ("artistName", "artist"), ("albumName", "album"))}
+    return t.withColumns({"name": F.col("trackName"), "instrumental": F.lit(False)} | {c: F.lit(None).cast("string") for c in NO_LYRICS} | lower)
+
+
 def matched(tracks: DataFrame, lyrics: DataFrame) -> DataFrame:
     t, l = dedup_ids(project_tracks(tracks)), dedup_ids(project_lyrics(lyrics), "lyrics_id")
     return finish(t.join(l, t.last_lyrics_id == l.lyrics_id))

@@ -22,29 +22,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from choralis.functions import text as X
-from choralis.operators.lookup import BadRequest, distinct_requests
-from choralis.schema import API_COLUMNS
+from choralis.operators.lookup import BadRequest, distinct_requests, with_texts
 
 NAMES = ["nameLower", "artistNameLower", "albumNameLower"]
 #: Distinct questions of one block, which is what a task keeps in memory.
 BLOCK = 50_000
 
 
-def _top(df: DataFrame, limit: int) -> DataFrame:
-    return df.orderBy("id").limit(max(1, min(limit, X.MAX_LIMIT))).select(*API_COLUMNS)
+def _top(df: DataFrame, limit: int, lyrics: DataFrame | None = None) -> DataFrame:
+    """The first rows by id: none asked for is as the usual number."""
+    return with_texts(df.orderBy("id").limit(max(1, min(limit or X.DEFAULT_LIMIT, X.MAX_LIMIT))), lyrics)
 
 
-def search(catalog: DataFrame, q: str | None = None, track: str | None = None, artist: str | None = None, album: str | None = None, limit: int = X.DEFAULT_LIMIT) -> DataFrame:
+def search(catalog: DataFrame, q: str | None = None, track: str | None = None, artist: str | None = None, album: str | None = None, limit: int = X.DEFAULT_LIMIT, lyrics: DataFrame | None = None) -> DataFrame:
     """Rows in whose names every word of q occurs, or, without q, whose fields hold
     the given ones. Neither q nor track: no rows. No word in q: every row. A field
-    of which nothing remains when normalised isn't asked for."""
+    of which nothing remains when normalised isn't asked for. lyrics as in with_texts()."""
     if not q and not track:
-        return _top(catalog.filter(F.lit(False)), limit)
+        return _top(catalog.filter(F.lit(False)), limit, lyrics)
     if q:
         found = [reduce(lambda a, b: a | b, [F.col(n).contains(t) for n in NAMES]) for t in X.normalize_py(q).split()]
     else:
         found = [F.col(n).contains(v) for n, x in zip(NAMES, (track, artist, album), strict=True) if x and (v := X.normalize_py(x))]
-    return _top(catalog.filter(reduce(and_, found, F.lit(True))), limit)
+    return _top(catalog.filter(reduce(and_, found, F.lit(True))), limit, lyrics)
 
 
 def _lower(c: str) -> Column:
@@ -78,7 +78,7 @@ def _automaton(needles: list[str]) -> ahocorasick.Automaton | None:
     return a if needles else None
 
 
-def _matcher(questions: list[tuple[int, list[tuple[int, str]]]], fields: int):
+def _matcher(questions: list[tuple[str, list[tuple[int, str]]]], fields: int):
     """questions: (key, [(field or -1 for any, needle)]). Gives a function from a row's
     fields to the keys of all questions that it meets. A question waits under one of
     its needles, the longest, and the rest are looked up when that one is found."""
@@ -93,7 +93,7 @@ def _matcher(questions: list[tuple[int, list[tuple[int, str]]]], fields: int):
         coded = sorted({(f, number[n]) for f, n in parts}, key=lambda p: (-len(needles[p[1]]), p))
         waiting[coded[0][1]].append((key, coded))
 
-    def match(values: list[str]) -> list[int]:
+    def match(values: list[str]) -> list[str]:
         found: dict[int, int] = {}
         for k, v in enumerate(values):
             if auto is not None and v:
@@ -128,20 +128,20 @@ def _run(rows: DataFrame, fields: list[str], asked: DataFrame, parts, size: int)
                 for key, found in best.items():
                     ids += (kept := heapq.nsmallest(most, found))
                     keys += [key] * len(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.int64())], ["key", "id"])
 
-        hits = rows.mapInArrow(scan, "key bigint, id bigint")
+        hits = rows.mapInArrow(scan, "key string, id bigint")
         # The window's group limit runs before the shuffle as well, so each partition sends at most k rows a question.
         best = hits.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("n") <= most)
         out = best if out is None else out.unionByName(best)
     if out is None:
-        return spark.createDataFrame([], "key bigint, id bigint, n int")
+        return spark.createDataFrame([], "key string, id bigint, n int")
     return out
 
 
 def _answers(r: DataFrame, question: list[str], rows: DataFrame, fields: list[str], parts, size: int) -> DataFrame:
     """r: req_id, k and the columns of `question`. Equal questions are asked once, with the largest k of theirs."""
-    key = F.xxhash64(F.to_json(F.struct(*question), {"ignoreNullFields": "false"}))
+    key = F.sha2(F.to_json(F.struct(*question), {"ignoreNullFields": "false"}), 256)
     asked = r.groupBy(*question).agg(F.max("k").alias("k")).withColumn("key", key)
     best = _run(rows, fields, asked, parts, size)
     keyed = r.withColumn("key", key).select("req_id", "k", "key")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from choralis.operators import catalog as C
 from choralis.operators import lookup as L
 from choralis.operators import search as S
 from choralis.plans import topology as P
-from choralis.schema import API_COLUMNS, TRACKS
+from choralis.schema import API_COLUMNS, CATALOG
+from choralis.sources import tables as T
+from choralis.sources.stages import run_folder
 from choralis.sources.tables import table
 
 ROOMS = 100
@@ -51,6 +54,17 @@ def _index(s: SparkSession, d: str) -> DataFrame:
     return C.id_index(_names(s, d))
 
 
+def _narrow(s: SparkSession, d: str) -> DataFrame:
+    return C.names_only(_t(s, d))
+
+
+def _written(s: SparkSession, d: str) -> DataFrame:
+    """The catalogue after it was written as part files and read again."""
+    path = f"{run_folder(s)}/parts-{uuid.uuid4().hex}"
+    T.write_parts(_c(s, d), path, ROLL)
+    return T.read_parts(s, path)
+
+
 def _parts(s: SparkSession, d: str) -> DataFrame:
     return C.room_parts(_c(s, d), C.text_bytes(), ROLL)
 
@@ -75,7 +89,7 @@ def _topology(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "project_tracks": lambda s, d: C.project_tracks(_t(s, d)),
     "project_lyrics": lambda s, d: C.project_lyrics(_l(s, d)),
-    "scan_catalog": lambda s, d: s.read.schema(TRACKS).parquet(f"{d}/tracks.parquet").drop("created_at", "updated_at"),
+    "scan_catalog": lambda s, d: _written(s, d).select(*CATALOG.fieldNames()),
     "dedup_ids": lambda s, d: C.dedup_ids(_l(s, d).select("id", "track_id", "plain_lyrics", "source")),
     "catalog": lambda s, d: C.build_catalog(_t(s, d), _l(s, d)),
     "catalog_union": lambda s, d: C.catalog_union(_t(s, d), _l(s, d)),
@@ -89,16 +103,20 @@ QUERIES = {
     "super_route": lambda s, d: _r(s, d).filter("q is not null").select("q").distinct().select("q", X.super_route(F.col("q")).alias("super")),
     "limit_parse": lambda s, d: _r(s, d).select("limit_raw").distinct().select("limit_raw", X.parse_limit(F.col("limit_raw")).alias("k")),
     "classify_record": lambda s, d: s.range(160).select("id", X.classify_record((F.col("id") / 10).cast("int"), (F.col("id") % 10).cast("int")).alias("kind")),
-    "get_exact": lambda s, d: L.get(_c(s, d), **GET),
-    "get_album": lambda s, d: L.get(_c(s, d), **GET, album=ALBUM),
-    "get_duration": lambda s, d: L.get(_c(s, d), **GET, duration=DURATION),
-    "get_by_id": lambda s, d: L.get_by_id(_c(s, d), 120),
+    "get_exact": lambda s, d: L.get(_narrow(s, d), **GET, lyrics=_l(s, d)),
+    "get_album": lambda s, d: L.get(_narrow(s, d), **GET, album=ALBUM, lyrics=_l(s, d)),
+    "get_duration": lambda s, d: L.get(_narrow(s, d), **GET, duration=DURATION, lyrics=_l(s, d)),
+    "get_by_id": lambda s, d: L.get_by_id(_narrow(s, d), 120, lyrics=_l(s, d)),
     "get_batch": lambda s, d: L.get_batch(_names(s, d), _r(s, d)),
     "get_by_id_batch": lambda s, d: L.get_by_id_batch(_index(s, d), _r(s, d)),
+    "get_by_id_rows": lambda s, d: L.get_by_id_rows(_c(s, d), _index(s, d), _r(s, d)),
+    "get_by_id_responses": lambda s, d: L.get_by_id_responses(_c(s, d), _index(s, d), _r(s, d)),
+    "limit_zero": lambda s, d: S.search(_narrow(s, d), q=WORDS, limit=0, lyrics=_l(s, d)),
+    "url_encode": lambda s, d: _r(s, d).filter("q is not null").select("q").distinct().select("q", X.url_encode(F.col("q")).alias("encoded")),
     "request_status": lambda s, d: L.request_status(_r(s, d)),
-    "search_tokens": lambda s, d: S.search(_c(s, d), q=WORDS),
-    "search_tokens_empty": lambda s, d: S.search(_c(s, d), q="!!!", limit=5),
-    "search_fields": lambda s, d: S.search(_c(s, d), **FIELDS, limit=100),
+    "search_tokens": lambda s, d: S.search(_narrow(s, d), q=WORDS, lyrics=_l(s, d)),
+    "search_tokens_empty": lambda s, d: S.search(_narrow(s, d), q="!!!", limit=5, lyrics=_l(s, d)),
+    "search_fields": lambda s, d: S.search(_narrow(s, d), **FIELDS, limit=100, lyrics=_l(s, d)),
     "search_batch": lambda s, d: S.search_batch(_names(s, d), _r(s, d)),
     "search_lyrics": lambda s, d: S.search_lyrics(_c(s, d), LINE),
     "search_lyrics_batch": lambda s, d: S.search_lyrics_batch(_c(s, d), _r(s, d)),
@@ -185,6 +203,14 @@ rq AS (SELECT DISTINCT * FROM requests)
 """
 
 
+_API_OF_CAT = ", ".join(f"cat.{c}" for c in API_COLUMNS)
+_ASKED = "(SELECT req_id, CASE WHEN regexp_full_match(id, '[0-9]+') THEN TRY_CAST(id AS BIGINT) END AS id FROM rq WHERE kind = 'get_by_id') r"
+
+
+def _error(error: tuple[int, str, str]) -> str:
+    return _q('{"code":%d,"name":"%s","message":"%s"}' % error)
+
+
 def _hit(where: str, limit: int) -> str:
     return f"SELECT {_API} FROM cat WHERE {where} ORDER BY id LIMIT {limit}"
 
@@ -213,7 +239,14 @@ ELSE {field('r.a', 'nameLower')} AND {field('r.b', 'artistNameLower')} AND {fiel
     units = "flatten(list_transform(string_split(q, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) // 1024), 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END))"
     java = f"list_reduce(list_prepend(0::BIGINT, list_transform({units}, lambda u: u::BIGINT)), lambda h, u: (h * 31 + u) % 4294967296)"
     return {
-        "scan_catalog": "SELECT * EXCLUDE (created_at, updated_at) FROM tracks",
+        "scan_catalog": w + f"SELECT {thirteen} FROM cat",
+        "limit_zero": w + _hit(words, 20),
+        "url_encode": f"SELECT q, array_to_string(list_transform(string_split(q, ''), lambda c: CASE WHEN c = '' THEN '' WHEN regexp_full_match(c, '[A-Za-z0-9*._-]') THEN c WHEN c = ' ' THEN '+' ELSE regexp_replace(hex(c), '(..)', '%\\1', 'g') END), '') AS encoded FROM (SELECT DISTINCT q FROM requests WHERE q IS NOT NULL)",
+        "get_by_id_rows": w + f"SELECT req_id, {_API_OF_CAT} FROM {_ASKED} JOIN cat USING (id)",
+        "get_by_id_responses": w
+        + f"""SELECT req_id, CASE WHEN cat.id IS NOT NULL THEN 200 WHEN zero THEN 400 ELSE 404 END AS code,
+CASE WHEN cat.id IS NOT NULL THEN to_json(struct_pack({', '.join(f'{c} := cat.{c}' for c in API_COLUMNS)}))::VARCHAR WHEN zero THEN {_error(L.ID_400)} WHEN NOT digits THEN {_error(L.ROUTE_404)} ELSE {_error(L.TRACK_404)} END AS body
+FROM (SELECT req_id, regexp_full_match(coalesce(id, ''), '[0-9]+') AS digits, regexp_full_match(coalesce(id, ''), '0+') AS zero, CASE WHEN regexp_full_match(id, '[0-9]+') THEN TRY_CAST(id AS BIGINT) END AS id FROM rq WHERE kind = 'get_by_id') r LEFT JOIN cat ON cat.id = r.id AND r.id >= 1""",
         "super_route": f"SELECT q, 'super-' || abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 10 AS super FROM (SELECT q, {java} AS h FROM (SELECT DISTINCT q FROM requests WHERE q IS NOT NULL))",
         "api_json": w + f"SELECT id, to_json(struct_pack({', '.join(f'{c} := {c}' for c in API_COLUMNS)}))::VARCHAR AS json FROM cat",
         "project_tracks": w + "SELECT * FROM pt",

@@ -70,6 +70,15 @@ def _type(declared: str) -> T.DataType:
     return T.StringType()
 
 
+def list_tables(path: str, scratch: str | None = None) -> list[str]:
+    """Names of a database's own tables, in the order in which they were made."""
+    db = _open(_plain_file(path, scratch))
+    try:
+        return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\' ORDER BY rowid")]
+    finally:
+        db.close()
+
+
 class SQLiteGz(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -87,7 +87,7 @@ def test_search(catalog):
     ids = lambda df: [r["id"] for r in df.orderBy("id").collect()]
     assert ids(S.search(catalog, q="ann om")) == [1, 2]
     assert ids(S.search(catalog, q="!!!")) == [1, 2, 3, 4, 5]
-    assert ids(S.search(catalog, q="!!!", limit=0)) == [1]
+    assert ids(S.search(catalog, q="!!!", limit=-1)) == [1] and ids(S.search(catalog, q="!!!", limit=0)) == [1, 2, 3, 4, 5]
     assert ids(S.search(catalog, track="!!!", artist="bob")) == [3, 5]
     assert ids(S.search(catalog, artist="bob")) == []
     assert ids(S.search_lyrics(catalog, "la la")) == [1, 2]
@@ -192,3 +192,58 @@ def test_streaming(spark, catalog, requests, tmp_path):
 def test_all_core_queries_run(spark, sf):
     for name, f in Q.QUERIES.items():
         assert f(spark, sf).columns, name
+
+
+def test_no_limit_is_the_usual_one(spark, catalog):
+    assert S.search(catalog, q="road", limit=0).count() == 2 and S.search_lyrics(catalog, "la", limit=0).count() == 2
+
+
+def test_texts_are_fetched_for_chosen_rows_only(tables, catalog):
+    tracks, lyrics = tables
+    names = C.names_only(tracks)
+    for whole, narrow in (
+        (L.get(catalog, "home", "ann"), L.get(names, "home", "ann", lyrics=lyrics)),
+        (L.get(catalog, "nothing", "ann"), L.get(names, "nothing", "ann", lyrics=lyrics)),
+        (L.get_by_id(catalog, 5), L.get_by_id(names, 5, lyrics=lyrics)),
+        (S.search(catalog, q="!!!"), S.search(names, q="!!!", lyrics=lyrics)),
+    ):
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, narrow.collect())) and whole.columns == narrow.columns
+
+
+def test_rows_and_errors_of_id_requests(spark, catalog):
+    asked = [(1, "1"), (2, "1"), (3, "abc"), (4, "0"), (5, "77"), (6, None), (7, "5")]
+    r = spark.createDataFrame([(i, "get_by_id", None, None, None, None, None, v, None) for i, v in asked] * 2, REQUEST)
+    index = C.id_index(catalog)
+    assert sorted((x["req_id"], x["id"]) for x in L.get_by_id_rows(catalog, index, r).collect()) == [(1, 1), (2, 1), (7, 5)]
+    got = {x["req_id"]: (x["code"], x["body"]) for x in L.get_by_id_responses(catalog, index, r).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 200, 2: 200, 3: 404, 4: 400, 5: 404, 6: 404, 7: 200}
+    assert got[5][1] == '{"code":404,"name":"TrackNotFound","message":"Failed to find specified track"}'
+    assert '"name":"BadRequest"' in got[4][1] and '"name":"NotFound"' in got[3][1]
+
+
+def test_part_files_are_those_of_the_fold(spark, catalog, tmp_path):
+    T.write_parts(catalog, str(tmp_path / "p"), roll=300)
+    back = T.read_parts(spark, str(tmp_path / "p"))
+    fold = C.room_parts(catalog, C.record_bytes(), 300)
+    assert sorted(map(tuple, back.select("room", "part", "id").collect())) == sorted(map(tuple, fold.select("room", "part", "id").collect()))
+    assert back.select(*catalog.columns).exceptAll(catalog).isEmpty() and back.count() == catalog.count()
+    for room, part in {(r["room"], r["part"]) for r in fold.collect()}:
+        assert len(list((tmp_path / "p" / f"room={room}" / f"part={part}").glob("*.parquet"))) == 1
+
+
+def test_binary_index(spark, tmp_path):
+    import numpy as np
+
+    rooms = np.arange(25, dtype="<u2") * 7 % 11
+    for part in range(3):
+        (tmp_path / f"index-{part}.bin").write_bytes(rooms[part * 10 : part * 10 + 10].tobytes())
+    got = {r["id"]: r["room"] for r in T.read_binary_index(spark, str(tmp_path), 10).collect()}
+    assert got == dict(enumerate(rooms.tolist()))
+
+
+def test_written_catalogue_serves_ids(spark, catalog, tmp_path):
+    T.write_catalog(catalog.drop("room"), str(tmp_path), P.Topology(10, 6))
+    assert T.get_by_id_pruned(spark, str(tmp_path), 5).collect() == L.get_by_id(catalog, 5).collect()
+    assert T.get_by_id_pruned(spark, str(tmp_path), 4000).isEmpty()
+    with pytest.raises(L.BadRequest):
+        T.get_by_id_pruned(spark, str(tmp_path), 0)

@@ -3,7 +3,7 @@ import sqlite3
 
 import pytest
 
-from choralis.sources.sqlite_source import SQLiteGz
+from choralis.sources.sqlite_source import SQLiteGz, list_tables
 
 
 @pytest.mark.parametrize("encoding", ["UTF-8", "UTF-16le", "UTF-16be"])
@@ -38,3 +38,14 @@ def test_empty_and_wrong(spark, tmp_path):
     bad.write_bytes(b"not a database at all")
     with pytest.raises(Exception, match="SQLite"):
         spark.read.format("sqlite_gz").option("path", str(bad)).option("table", "t").load().collect()
+
+
+def test_lists_tables(tmp_path):
+    path = tmp_path / "t.sqlite"
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE tracks (id INTEGER PRIMARY KEY AUTOINCREMENT)")
+    db.execute("CREATE TABLE lyrics (id INTEGER)")
+    db.execute("CREATE INDEX i ON lyrics (id)")
+    db.commit()
+    db.close()
+    assert list_tables(str(path)) == ["tracks", "lyrics"]
