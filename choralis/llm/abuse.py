@@ -439,12 +439,13 @@ def common_words(texts: DataFrame) -> frozenset[str]:
     return frozenset(w for w, n in counts.items() if n >= max(3, total * COMMON))
 
 
-def scores(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, score, places, terms) of every row: null, empty and blank texts have 0.
+def scores(docs: DataFrame, id_: str, text: str, source: str | None = None) -> DataFrame:
+    """(id, source, score, places, terms) of every row: null, empty and blank texts have 0.
 
-    Whole texts are read. Repeated rows are repeated; other columns don't matter.
+    Whole texts are read. Repeated rows are repeated; other columns don't matter. The column
+    of the source is carried along if it is named, and is null else.
     """
-    d = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    d = docs.select(F.col(id_).alias("id"), (F.col(source) if source else F.lit(None).cast("string")).alias("source"), F.col(text).alias("text"))
     words = docs.sparkSession.sparkContext.broadcast(common_words(d.filter("text is not null").select("text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +453,7 @@ def scores(docs: DataFrame, id_: str, text: str) -> DataFrame:
         for b in batches:
             got = [scorer.text(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())], ["id", "score", "places", "terms"]
+                [b.column("id"), b.column("source"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())], ["id", "source", "score", "places", "terms"]
             )
 
-    return d.mapInArrow(scan, "id bigint, score double, places int, terms string")
+    return d.mapInArrow(scan, "id bigint, source string, score double, places int, terms string")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -14,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from choralis.sources.stages import path_of, run_folder
 from choralis.sources.tables import table
 
 VALUES = "field string, id bigint, value string"
@@ -31,48 +29,11 @@ def catalogue_values(spark: SparkSession, d: str) -> DataFrame:
     return t.unionByName(values(table(spark, d, "lyrics"), ["plain_lyrics"]))
 
 
-_OWN: dict[str, str] = {}
-_MADE: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Only where all tasks run in the
-    driver's own process, as in tests, and none is named, a temporary folder that ends with it."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        # Executors would each write to a disk of their own, and what is read back would lack rows.
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = d = tempfile.mkdtemp(prefix="stages-")
-        atexit.register(shutil.rmtree, d, True)
-    return "file://" + _OWN[sc.applicationId]
-
-
-def _path(spark: SparkSession, name: str) -> tuple:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _run_folder(spark: SparkSession) -> str:
-    """This application's own part of the shared folder, deleted when the driver ends."""
-    app = spark.sparkContext.applicationId
-    name = f"{shared_folder(spark)}/stages-{app}"
-    if app not in _MADE:
-        path, fs = _path(spark, name)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _MADE.add(app)
-    return name
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: it is computed once, its
     lineage is cut, and the loss of an executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,7 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
 def clear_stages(spark: SparkSession) -> None:
     """Delete what this application has stored so far, as a long-lived one may do between
     queries. What was computed from stages and not written yet can't be read any more."""
-    path, fs = _path(spark, _run_folder(spark))
+    path, fs = path_of(spark, run_folder(spark))
     fs.delete(path, True)
 
 

@@ -15,15 +15,15 @@ def _lyrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def p1_scores(s: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(_lyrics(s, d), "id", "plain_lyrics").distinct()
+    return abuse.scores(_lyrics(s, d), "id", "plain_lyrics").drop("source").distinct()
 
 
 def p1_rates(s: SparkSession, d: str) -> DataFrame:
     """Of each source: texts, and the share with at least one abusive place."""
-    src = _lyrics(s, d).select("id", "source").distinct()
     return (
-        p1_scores(s, d)
-        .join(src, "id")
+        abuse.scores(_lyrics(s, d), "id", "plain_lyrics", "source")
+        .select("id", "source", "places")
+        .distinct()
         .groupBy("source")
         .agg(F.count("*").alias("texts"), F.count_if(F.col("places") > 0).alias("abusive"), F.avg((F.col("places") > 0).cast("int")).alias("rate"))
     )
@@ -89,7 +89,8 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p7_forms(s: SparkSession, d: str) -> DataFrame:
-    return lookalike.forms(catalogue_values(s, d)).distinct()
+    """One row per value of the tables; rows that were delivered twice come twice."""
+    return lookalike.forms(catalogue_values(s, d))
 
 
 def p7_groups(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from choralis.llm import common as C
+from choralis.sources import stages as S
 
 
 def session(master, folder=None):
@@ -14,14 +15,14 @@ def session(master, folder=None):
 @pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"])
 def test_a_cluster_must_name_its_shared_folder(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        C.shared_folder(session(master))
-    assert C.shared_folder(session(master, "hdfs://x/y")) == "hdfs://x/y"
+        S.shared_folder(session(master))
+    assert S.shared_folder(session(master, "hdfs://x/y")) == "hdfs://x/y"
 
 
 def test_stages_are_written_and_deleted(spark):
     df = C.stored(spark.range(10))
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().toString()
-    folder = C._run_folder(spark).removeprefix("file://")
+    folder = S.run_folder(spark).removeprefix("file://")
     assert os.listdir(folder)
     C.clear_stages(spark)
     assert not os.path.exists(folder)
